@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import mixing, quality_rules, secret_scan, simhash
+from opinara.llm import mixing, piece_sampling, quality_rules, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode_sampled(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op9_mixing": op9_mixing,
+    "op10_piece_sampling": op10_piece_sampling,
 }
 
 ORACLES: dict[str, str] = {
