@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import mixing, piece_sampling, quality_rules, secret_scan, simhash
+from opinara.llm import mixing, piece_sampling, quality_rules, secret_scan, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
@@ -42,6 +47,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), r AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS best FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN best IS DISTINCT FROM page_id AND best IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN best IS DISTINCT FROM page_id THEN best END AS refers_to
+        FROM r
+    """,
     "op6_quality_rules": """
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t,
