@@ -198,10 +198,10 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of every row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a few megabytes, whatever the input
+    shared = df.sparkSession.sparkContext.broadcast(model.__dict__)  # a few megabytes, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, fitted = Buckets(), shared.value
+        buckets, fitted = Buckets(), Model(**shared.value)
         for b in batches:
             features = np.stack([pooled(buckets.of(t.as_py()), fitted.table) for t in b.column(1)]) if b.num_rows else np.zeros((0, fitted.table.shape[1]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fitted.scores(features).astype(np.float64))], ["doc_id", "held_out", "score"])

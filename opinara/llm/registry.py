@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import cross_polytope, html_text, mixing, piece_sampling, quality_model, quality_rules, secret_scan, simhash, warc
+from opinara.llm import chat_format, cross_polytope, html_text, mixing, piece_sampling, quality_model, quality_rules, secret_scan, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cross_polytope": op1_cross_polytope,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op4_chat_format": op4_chat_format,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_html_text": op7_html_text,
