@@ -13,7 +13,7 @@ How links are found, without comparing all pairs:
 3. Within a file, the Hamming distances of every member to many reference fingerprints (pivots) are
    tabled. By the triangle inequality the distance of a pair is at least the largest coordinate
    difference, so pairs whose coordinates differ by more than RADIUS anywhere are discarded. Members
-   are sorted by their first coordinate, and a block meets only the members within RADIUS of it.
+   are sorted by their first coordinate, and each meets only the later ones within RADIUS of it.
 4. Survivors are verified on their 64 bits. A file emits a spanning forest of its links, never all
    pairs, and the components join the forests.
 
@@ -43,8 +43,6 @@ SHINGLE = 3
 RADIUS = 2
 SEGMENTS = 8
 PIVOTS = 24
-#: Members of a file that are compared with later ones at a time.
-BLOCK = 512
 #: Shingles hashed before their bits are added up.
 CHUNK = 1 << 16
 
@@ -102,44 +100,28 @@ def pivots(count: int = PIVOTS) -> np.ndarray:
 
 
 def forest(members: np.ndarray, references: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """A spanning forest of the links among distinct ``members``: rows of (member, lower member)."""
+    """A spanning forest of the links among distinct ``members``: rows of (member, other member).
+
+    Members are taken one by one in the order of their first coordinate, each against the later ones
+    within ``radius`` of it that are not yet in its tree, so memory is linear in the members.
+    """
     table = np.bitwise_count(members[:, None] ^ references[None, :]).astype(np.int8)
     order = np.argsort(table[:, 0], kind="stable")
     members, table = members[order], table[order]
-    first = table[:, 0]
-    root = np.arange(len(members))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    ends = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
+    tree = np.arange(len(members))
     kept = []
-    for low in range(0, len(members), BLOCK):
-        high = min(low + BLOCK, len(members))
-        end = int(np.searchsorted(first, first[high - 1] + radius, side="right"))
-        for start in range(low, end, 8 * BLOCK):
-            stop = min(start + 8 * BLOCK, end)
-            alive = np.abs(table[low:high, None, 0] - table[None, start:stop, 0]) <= radius
-            i, j = np.nonzero(alive)
-            i, j = i + low, j + start
-            ahead = i < j
-            i, j = i[ahead], j[ahead]
-            for k in range(1, table.shape[1]):  # the pairs left shrink with each coordinate
-                if len(i) < 64:
-                    break
-                near = np.abs(table[i, k] - table[j, k]) <= radius
-                i, j = i[near], j[near]
-            linked = np.bitwise_count(members[i] ^ members[j]) <= radius
-            for x, y in zip(i[linked].tolist(), j[linked].tolist()):
-                rx, ry = find(x), find(y)
-                if rx != ry:
-                    root[max(rx, ry)] = min(rx, ry)
-                    kept.append((x, y))
-    if not kept:
-        return np.empty((0, 2), np.uint64)
-    return members[np.array(kept)]
+    for i in range(len(members) - 1):
+        later = i + 1 + np.nonzero(tree[i + 1 : ends[i]] != tree[i])[0]
+        if not len(later):
+            continue
+        near = later[np.abs(table[later] - table[i]).max(axis=1) <= radius]
+        linked = near[np.bitwise_count(members[near] ^ members[i]) <= radius]
+        if len(linked):
+            others, at = np.unique(tree[linked], return_index=True)
+            kept += [(members[i], members[j]) for j in linked[at]]
+            tree[np.isin(tree, others)] = tree[i]
+    return np.array(kept, np.uint64).reshape(-1, 2)
 
 
 def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
