@@ -102,18 +102,18 @@ def own_rules(words: Column, text: Column, n_symbols: Column, n_dup_lines: Colum
 
 
 def prepared(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``__text`` (never null) and ``__words``."""
+    """``df`` with ``__text`` (never null) and ``__words``. For projections: see ``filter_quality`` on filters."""
     return df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__words", words_of(F.col("__text")))
 
 
-def default_rules() -> list[Rule]:
-    """All rules over the columns of ``prepared``, each computing what it needs."""
-    words, text = F.col("__words"), F.col("__text")
+def default_rules(words: Column, text: Column) -> list[Rule]:
+    """All rules over the words and the text, each computing what it needs."""
     return base_rules(words, repeat_words(words)) + own_rules(words, text, symbol_count(text), dup_lines(text), word_chars(words))
 
 
-def measure(df: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Measured]:
+def measure(df: DataFrame, rows: int = SAMPLE_ROWS) -> list[Measured]:
     """Time and rejection rate of each rule on at most ``rows`` rows, best yield first."""
+    rules = default_rules(F.col("__words"), F.col("__text"))
     sample = prepared(df).select("__text", "__words").limit(rows).cache()
     try:
         total = max(sample.count(), 1)
@@ -137,16 +137,25 @@ def cascade(rules: list[Rule]) -> Column:
 
 def filter_quality(df: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``df`` that no rule rejects, with its own columns."""
-    base = df.withColumnRenamed(text, "text") if text != "text" else df
-    order = [m.rule for m in measure(base, default_rules(), rows)]
-    kept = prepared(base).where(cascade(order).isNull()).drop("__text", "__words")
-    return kept.withColumnRenamed("text", text) if text != "text" else kept
+    ranks = _ranks(df.select(F.col(text).alias("text")), rows)
+
+    def verdict(words: Column, whole: Column) -> Column:
+        return cascade(sorted(default_rules(words, whole), key=lambda r: ranks[r.name]))
+
+    # the words are bound inside the predicate: as a column of their own they would be computed again for
+    # every use once the filter is pushed below them
+    judged = let(F.coalesce(F.col(text), F.lit("")), lambda whole: let(words_of(whole), lambda words: verdict(words, whole)))
+    return df.where(judged.isNull())
+
+
+def _ranks(docs: DataFrame, rows: int) -> dict[str, int]:
+    return {m.rule.name: i for i, m in enumerate(measure(docs, rows))}
 
 
 def quality_report(df: DataFrame, key: str = "doc_id", rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row: the base counts, ``base_failed``, ``kept`` and the rule that rejected it."""
     docs = df.select(F.col(key).alias("doc_id"), F.col("text"))
-    ranks = {m.rule.name: i for i, m in enumerate(measure(docs, default_rules(), rows))}
+    ranks = _ranks(docs, rows)
     words, text = F.col("__words"), F.col("__text")
     counted = prepared(docs).select(
         "doc_id",
