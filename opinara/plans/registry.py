@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from opinara.plans import feedback
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (feedback,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
