@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from opinara.plans import feedback
+from opinara.plans import feedback, ingesting, series
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (feedback,):
+for _module in (feedback, ingesting, series):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
