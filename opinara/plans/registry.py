@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from opinara.plans import feedback, ingesting, series
+from opinara.plans import feedback, ingesting, narratives, series
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (feedback, ingesting, series):
+for _module in (feedback, ingesting, series, narratives):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
