@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -36,6 +37,8 @@ from opinara.llm.common import scratch_path
 
 MIN_REVISIT = 1000
 SPLIT_BYTES = 8 << 20
+#: Input bytes, by the plan's estimate, for each archive file.
+FILE_BYTES = 16 << 20
 #: Compression level of the records.
 LEVEL = 4
 _MAGIC = b"\x1f\x8b\x08"
@@ -90,7 +93,8 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", uri: str = "u
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
     members = told.select("key", "uri", F.col("payload").cast("binary"), "digest", "refers_to", revisit.alias("revisit")).mapInArrow(run, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
+    files = max(1, math.ceil(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / FILE_BYTES))
+    members.select(F.col("member").cast("string").alias("value")).coalesce(files).write.option("lineSep", "\x00").text(path)
 
 
 class _Range:
@@ -173,7 +177,7 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     """One row for each response or revisit below ``path``; a response's payload is checked against its digest."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length"), F.lit(split_bytes).cast("long"))).alias("start")).where("start < length")
-    count = ranges.count()
+    total = files.agg(F.sum("length")).first()[0] or 0  # small files share a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("key", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -199,7 +203,7 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return ranges.select("path", "length", "start").repartition(max(1, min(count, 10_000))).mapInArrow(run, _SCHEMA)
+    return ranges.select("path", "length", "start").repartition(max(1, min(math.ceil(total / split_bytes), 10_000))).mapInArrow(run, _SCHEMA)
 
 
 def archive_round_trip(df: DataFrame) -> DataFrame:
