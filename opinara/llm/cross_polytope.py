@@ -33,7 +33,7 @@ from opinara.llm.common import written
 
 TABLES = 4
 K = 20
-TILE = 4096
+TILE = 32768
 QUERIES = 4096
 SAMPLE = 4096
 RECALL = 0.95
@@ -136,8 +136,8 @@ def usable(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int, float,
 def _ranked(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, allowed, k: int) -> tuple[list, list, list]:
     """The ``k`` best of a tile for each query. ``allowed`` of (first, last): which pairs of these queries count."""
     out: tuple[list, list, list] = ([], [], [])
-    for low in range(0, len(q), 512):
-        part = slice(low, min(low + 512, len(q)))
+    for low in range(0, len(q), 128):
+        part = slice(low, min(low + 128, len(q)))
         score = q[part] @ c.T
         score[~allowed(part)] = -np.inf
         score[query_ids[part][:, None] == ids[None, :]] = -np.inf
