@@ -11,7 +11,11 @@ from opinara.operators import ingest
 from opinara.schema import VIDEO_SCHEMA
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
-HEAD = 1 << 16
+#: Lines by which a file's encoding and delimiter are judged.
+HEAD_LINES = 200
+#: Spark reads neither cp1252 nor a byte it lacks; both are read as Latin-1, where 0x80 to 0x9F differ.
+_LATIN = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+_CP1252 = _LATIN.encode("latin-1").decode("cp1252")
 
 
 def sniff(head: bytes) -> tuple[str, str]:
@@ -22,10 +26,8 @@ def sniff(head: bytes) -> tuple[str, str]:
         try:
             text = head.decode(encoding)
             break
-        except UnicodeDecodeError as e:
-            if e.start > len(head) - 4 and len(head) >= HEAD:  # a character cut off at the end of the head
-                text = head[: e.start].decode(encoding)
-                break
+        except UnicodeDecodeError:
+            continue
     try:
         return encoding, csv.Sniffer().sniff(text.split("\n", 1)[0] + "\n", ",;\t|").delimiter
     except csv.Error:
@@ -34,11 +36,14 @@ def sniff(head: bytes) -> tuple[str, str]:
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, names trimmed, only the empty string null; unnamed empty columns are dropped."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD).alias("h")).first()
-    encoding, separator = sniff(bytes(head["h"]) if head else b"")
-    read = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding]
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=separator, encoding=read, multiLine=True, escape='"', nullValue="", ignoreLeadingWhiteSpace=True)
-    return df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns]).drop(*[c for c in df.columns if c.startswith("_c")])
+    lines = spark.read.text(path).limit(HEAD_LINES).select(F.col("value").cast("binary").alias("v")).collect()
+    encoding, separator = sniff(b"\n".join(bytes(r["v"]) for r in lines))
+    charset = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
+    df = spark.read.csv(path, header=True, inferSchema=False, sep=separator, encoding=charset, multiLine=True, escape='"', nullValue="", ignoreLeadingWhiteSpace=True)
+    df = df.drop(*[c for c in df.columns if c.startswith("_c")])
+    if encoding == "cp1252":
+        df = df.select(*[F.translate(F.col(f"`{c}`"), _LATIN, _CP1252).alias(c) for c in df.columns])
+    return df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns])
 
 
 def read_reviews(spark: SparkSession, path: str, stem: str, mapping: dict[str, str] | None = None) -> DataFrame:
