@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words: space and the five ASCII line and tab characters.
 WORD_SPACE = "[\\x20\\x09-\\x0D]+"
+#: Rows of a file, where a table's rows are known beforehand.
+FILE_ROWS = 100_000
 _TRIM = " \t\n\x0b\x0c\r"
 
 
@@ -28,9 +31,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, with its lineage cut."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, with its lineage cut.
+
+    ``rows``: about how many rows it has, where known; a small table then goes to few files.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / FILE_ROWS)))
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch = path  # so that drop_written() finds it

@@ -34,15 +34,15 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     count and an order-free checksum of the links; nothing else reaches the driver.
     """
     now = written(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct(), "links")
-    seen = None
+    seen, rows = None, now.count()
     for _ in range(rounds):
-        after = written(_star(_star(now, True), False), "links")
+        after = written(_star(_star(now, True), False), "links", rows)
         drop_written(now)
         now = after
         mark = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if mark == seen:
             break
-        seen = mark
+        seen, rows = mark, mark["n"]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))

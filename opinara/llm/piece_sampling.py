@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = 10
-BLOCK = 4_000_000
+BLOCK = 1_500_000
 #: Characters of distinct words that are filtered together.
 GROUP = 1 << 16
 #: Words up to so long are filtered on weights scaled by SCALE a character, which stay far inside a
@@ -263,6 +263,7 @@ def encode_sampled(df: DataFrame, key: str = "doc_id", text: str = "text", vocab
                 chars += lengths[high - 1]
                 if chars >= BLOCK or high == batch.num_rows:
                     yield one(pieces, batch.slice(low, high - low))
+                    pa.default_memory_pool().release_unused()
                     low, chars = high, 0
 
     def one(pieces: Pieces, batch: pa.RecordBatch) -> pa.RecordBatch:
