@@ -27,7 +27,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import sentencepiece
@@ -216,15 +215,12 @@ def encode(pieces: Pieces, keys: list[int], texts: list[str], seed: int = SEED)
     """Ids of all texts, and the number of ids of each."""
     found = [_WORD.findall(" " + t.replace(_MARK, _OWN_MARK)) if t else [] for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.empty(int(sizes.sum()), object)
-    at = 0
-    for words in found:
-        flat[at : at + len(words)] = words
-        at += len(words)
+    at = int(sizes.sum())
     if not at:
         return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-    word, distinct = pd.factorize(flat)
-    table = Filtered(pieces, list(distinct))
+    places: dict[str, int] = {}
+    word = np.fromiter((places.setdefault(w, len(places)) for words in found for w in words), np.int64, at)
+    table = Filtered(pieces, list(places))
     row = _mixed(np.array(keys, np.int64).view(np.uint64) + np.uint64(seed * int(_ROW) % (1 << 64)))
     starts = np.cumsum(sizes) - sizes
     nth = (np.arange(at) - np.repeat(starts, sizes)).astype(np.uint64)
