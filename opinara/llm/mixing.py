@@ -6,8 +6,8 @@ by exact size rather than on documents:
 1. whole copies: a source whose target is at least its size takes every document once or twice;
 2. a proportional share of every size, rounded down, then one more of each size in a seeded order
    while the remaining budget stays above RESERVE;
-3. a bounded knapsack over the sizes and counts left, by dynamic programming up to the remaining
-   budget, which closes it exactly where any subset of documents can.
+3. a bounded knapsack over the sizes and counts left, by dynamic programming around the remaining
+   budget, which comes as near to it as any subset of the documents left can.
 
 Then each (source, size) class takes its number of documents by a seeded hash of the key. Classes are
 split into bins of about BIN documents by that hash, so no class is ranked in one task.
@@ -58,27 +58,31 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
 
 
 def knapsack(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many of each size to take so that their sum is the largest possible up to ``budget``.
+    """How many of each size to take so that their sum comes nearest to ``budget`` (the lesser sum on ties).
 
     Counts are split into powers of two; for every sum the first item that reaches it is kept, from
-    which the choice is read back.
+    which the choice is read back. Sums are followed up to one largest size beyond the budget.
     """
     taken = [0] * len(sizes)
-    full = (1 << (budget + 1)) - 1
-    reach, first = 1, np.full(budget + 1, -1, np.int64)
+    top = budget + max(sizes, default=0)
+    full = (1 << (top + 1)) - 1
+    reach, first = 1, np.full(top + 1, -1, np.int64)
     items: list[tuple[int, int]] = []
     for k, (size, count) in enumerate(zip(sizes, counts)):
-        left, piece = min(count, budget // size if size else 0), 1
+        left, piece = min(count, top // size if size else 0), 1
         while left and not reach >> budget & 1:
             number = min(piece, left)
             fresh = (reach << (number * size)) & full & ~reach
             if fresh:
-                bits = np.unpackbits(np.frombuffer(fresh.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little")
+                bits = np.unpackbits(np.frombuffer(fresh.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little")
                 first[np.nonzero(bits)[0]] = len(items)
                 items.append((k, number))
                 reach |= fresh
             left, piece = left - number, piece * 2
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = reach >> (budget + 1)
+    gap = (above & -above).bit_length() if above else None
+    at = below if gap is None or budget - below <= gap else budget + gap
     while at:
         k, number = items[first[at]]
         taken[k] += number
@@ -104,7 +108,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, target: float, seed: int = SEED,
         if extra[k] < counts[k] and 0 < sizes[k] <= rest:
             extra[k] += 1
             rest -= int(sizes[k])
-    open_ = [k for k in order if 0 < sizes[k] <= rest and extra[k] < counts[k]]
+    open_ = [k for k in order if 0 < sizes[k] and extra[k] < counts[k]]
     for k, more in zip(open_, knapsack([int(sizes[k]) for k in open_], [int(counts[k] - extra[k]) for k in open_], rest)):
         extra[k] += more
     return whole, extra
