@@ -93,7 +93,8 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", uri: str = "u
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
     members = told.select("key", "uri", F.col("payload").cast("binary"), "digest", "refers_to", revisit.alias("revisit")).mapInArrow(run, "member binary")
-    files = max(1, math.ceil(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / FILE_BYTES))
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # enormous where unknown
+    files = min(max(1, math.ceil(estimate / FILE_BYTES)), 1 << 20)
     members.select(F.col("member").cast("string").alias("value")).coalesce(files).write.option("lineSep", "\x00").text(path)
 
 
