@@ -170,7 +170,7 @@ def simhash_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return classes(df, key, text).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row of each class, with the columns of ``df``: the one whose id names the class.
 
     Of rows that repeat the id itself, one stays; rows without an id stay.
