@@ -20,6 +20,9 @@ How links are found, without comparing all pairs:
 Pivots alone, as a join index, leave a fixed share of all pairs to compare (a coordinate of random
 fingerprints has a deviation of 4, so one discards about 40 %), which is why the files come first.
 
+64 bits can't tell a Jaccard similarity of 0.8 from less: such pairs lie up to 14 bits apart, where files no
+longer part the fingerprints. ``deduplicate`` therefore adds the links of ``near_copies`` to those above.
+
 Null and empty texts have the fingerprint zero and link like any other. Rows with a null id form
 classes too, and never become a class's name unless no other id is there. Repeated rows keep their
 own result rows.
@@ -27,7 +30,7 @@ own result rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,8 +41,11 @@ from pyspark.sql import functions as F
 
 from opinara.llm.common import written
 from opinara.llm.components import components
+from opinara.llm.near_copies import SIMILARITY, distinct_texts, near_links, sketch
 
 SHINGLE = 3
+#: Words of a shingle where texts are compared by the similarity of their shingle sets.
+NEAR_SHINGLE = 5
 RADIUS = 2
 SEGMENTS = 8
 PIVOTS = 24
@@ -49,29 +55,37 @@ CHUNK = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The bits set in over half of the XXH64 hashes (seed 42) of the shingles, as a signed 64-bit integer.
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The XXH64 hashes (seed 42) of a text's shingles, repeats included, in parts.
 
     Works on UTF-8 bytes: ``bytes.split`` parts at just the six ASCII space characters, and only
     A-Z change in lower-casing.
     """
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return 0
-    count = max(len(words) - shingle + 1, 1)
+    count = max(len(words) - shingle + 1, 1) if words else 0
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for low in range(0, count, CHUNK):
         part = words[low : low + CHUNK + shingle - 1]
         if len(part) <= shingle:
-            hashes = [digest(b" ".join(part), 42)]
+            yield np.array([digest(b" ".join(part), 42)], np.uint64)
         else:
-            hashes = [digest(s, 42) for s in map(b" ".join, zip(*(part[k:] for k in range(shingle))))]
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+            yield np.array([digest(s, 42) for s in map(b" ".join, zip(*(part[k:] for k in range(shingle))))], np.uint64)
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit integer; zero for none."""
+    ones, count = np.zeros(64, np.int64), 0
+    for part in hashes:
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += len(part)
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The bits set in over half of the hashes of the shingles, as a signed 64-bit integer."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def with_fingerprints(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``fp`` of every row."""
 
@@ -84,6 +98,25 @@ def with_fingerprints(df: DataFrame, key: str, text: str, shingle: int = SHINGLE
     return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def with_marks(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """``doc_id``, ``fp`` and what ``near_links`` needs: ``n``, ``sketch``, ``bands``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                ids, texts = (c.slice(low, 256) for c in batch.columns)
+                fps, marks = [], []
+                for t in texts:
+                    hashes = list(shingle_hashes(t.as_py(), shingle))
+                    fps.append(majority(hashes))
+                    marks.append(sketch(np.concatenate(hashes) if hashes else np.empty(0, np.uint64)))
+                n, sketches, bands = zip(*marks)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(fps, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "sketch", "bands"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long, n long, sketch binary, bands array<long>")
+
+
 def _masks() -> list[int]:
     """One mask for each choice of segments that must agree, as signed 64-bit integers."""
     width = 64 // SEGMENTS
@@ -150,11 +183,19 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return files.select("fps").mapInArrow(run, "a long, b long")
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Per row: ``doc_id``, ``fp`` and ``component_id``, the least id of its class."""
-    marked = written(with_fingerprints(df, key, text, shingle), "simhash")
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """Per row: ``doc_id``, ``fp`` and ``component_id``, the least id of its class.
+
+    With ``similarity``, texts whose shingle sets are so similar (Jaccard) link too, by ``near_links``.
+    """
+    if similarity is None:
+        marked = written(with_fingerprints(df, key, text, shingle), "simhash")
+        found = links(marked)
+    else:
+        marked = written(with_marks(df, key, text, shingle), "simhash")
+        found = links(marked).unionAll(near_links(distinct_texts(marked), similarity))
     names = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    joined = components(links(marked), "a", "b")
+    joined = components(found, "a", "b")
     linked = written(joined.withColumnRenamed("node", "fp").join(names, "fp"), "simhash-linked")
     least = linked.groupBy("component").agg(F.min("low").alias("component_id"))
     renamed = linked.join(least, "component").select("fp", "component_id")
@@ -170,11 +211,12 @@ def simhash_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return classes(df, key, text).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, similarity: float | None = SIMILARITY) -> DataFrame:
     """One row of each class, with the columns of ``df``: the one whose id names the class.
 
-    Of rows that repeat the id itself, one stays; rows without an id stay.
+    By default texts link at a similarity of 0.8 over shingles of five words. Of rows that repeat the id
+    itself, one stays; rows without an id stay.
     """
-    found = classes(df.where(F.col(key).isNotNull()), key, text, shingle)
+    found = classes(df.where(F.col(key).isNotNull()), key, text, shingle, similarity)
     names = found.where("doc_id = component_id").select(F.col("component_id").alias("__keep")).distinct()
     return df.join(names, F.col(key) == F.col("__keep"), "left_semi").dropDuplicates([key]).unionAll(df.where(F.col(key).isNull()))

@@ -41,6 +41,55 @@ def test_query_against_brute_force(spark, sf, documents):
     assert {i: r["component_id"] for i, r in got.items()} == want
 
 
+def near_pairs(texts: dict[int, str | None]) -> dict[tuple[int, int], float]:
+    """Jaccard similarity over five-word shingles of all pairs of texts that share one."""
+    sets, places = {}, {}
+    for i, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = {" ".join(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else {""}
+        for s in sets[i]:
+            places.setdefault(s, []).append(i)
+    pairs = {(a, b) for found in places.values() for n, a in enumerate(found) for b in found[:n]}
+    return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs}
+
+
+def test_similar_texts_link(documents):
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(documents, shingle=5, similarity=0.8).collect()}
+    near = near_pairs(texts)
+    assert [p for p, s in near.items() if s >= 0.8 and got[p[0]] != got[p[1]]] == []
+    best = {}
+    for (a, b), s in near.items():
+        best[a], best[b] = max(best.get(a, 0), s), max(best.get(b, 0), s)
+    members = [i for i, c in got.items() if sum(c == other for other in got.values()) > 1]
+    assert members and all(best.get(i, 0) >= 0.75 for i in members)
+
+
+def test_files_in_blocks(spark, monkeypatch):
+    from opinara.llm import near_copies
+
+    words = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join([*words[: 2 * k], f"x{k}", *words[2 * k + 1 :]])) for k in range(60)] + [(90, " ".join(words[150:]))]
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 90]
+
+
+@pytest.mark.parametrize("size", [100, 5000])
+def test_sketch_similarity(size):
+    from opinara.llm import near_copies
+
+    rng = np.random.default_rng(size)
+    both, one, two = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (size * 8 // 10, size // 10, size // 10))
+    marks = [near_copies.sketch(np.concatenate([both, rest])) for rest in (one, two)]
+    assert [m[0] for m in marks] == [len(both) + len(one)] * 2
+    parts = [np.frombuffer(m[1], np.uint32).astype(np.uint64) for m in marks]
+    whole = size <= near_copies.SKETCH
+    near, exact = near_copies.similarities(parts[0], whole, parts[1][None], np.array([len(parts[1])]), np.array([whole]))
+    assert exact[0] == whole and near[0] == pytest.approx(0.8, abs=1e-9 if whole else 0.07)
+    assert near_copies.near_forest([m[0] for m in marks], [m[1] for m in marks]) == [(0, 1)] or not whole
+
+
 def test_odd_rows(odd):
     rows = simhash.simhash_classes(odd).collect()
     assert len(rows) == odd.count()

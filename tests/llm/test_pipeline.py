@@ -16,7 +16,7 @@ def test_stages_take_effect(spark, sf, documents):
         if name == "quality_rules":
             assert left == {r["doc_id"] for r in quality_rules.quality_report(docs).where("kept").collect()}
         if name == "simhash":
-            assert left == {r["component_id"] for r in simhash.classes(docs).select("component_id").collect()}
+            assert left == {r["component_id"] for r in simhash.classes(docs, shingle=5, similarity=0.8).select("component_id").collect()}
         if name == "secret_scan":
             assert left == before and secret_scan.scan_secrets(after).agg(F.sum(F.expr("n_assign + n_access + n_hex + n_random"))).first()[0] == 0
         if name == "mixing":
