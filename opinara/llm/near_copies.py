@@ -11,7 +11,7 @@ complete theirs:
    two blocks and no two members of a file miss each other. Files with the same members count once.
 4. In a file, a text meets only those within the size ratio that the similarity implies and not yet in its
    tree. The similarity is exact where both sketches are whole; else it is estimated from the shared range
-   of the two samples (deviation 0.018 at 0.8), and SLACK below the bound links too, so that few links
+   of the two samples (deviation 0.009 at 0.8), and SLACK below the bound links too, so that few links
    at the bound are lost. A file emits a spanning forest, never all pairs.
 """
 
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from opinara.llm.common import written
 
 SIMILARITY = 0.8
-SLACK = 0.03
-SKETCH = 512
+SLACK = 0.015
+SKETCH = 2048
 BANDS, ROWS = 14, 4
-BLOCK = 1024
+BLOCK = 512
 #: Hashes that meet the min-hash functions at once.
 CHUNK = 1 << 12
 _SEEDS = np.random.default_rng(42).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64)

@@ -62,7 +62,7 @@ def test_similar_texts_link(documents):
     for (a, b), s in near.items():
         best[a], best[b] = max(best.get(a, 0), s), max(best.get(b, 0), s)
     members = [i for i, c in got.items() if sum(c == other for other in got.values()) > 1]
-    assert members and all(best.get(i, 0) >= 0.75 for i in members)
+    assert members and all(best.get(i, 0) >= 0.78 for i in members)
 
 
 def test_files_in_blocks(spark, monkeypatch):
@@ -86,7 +86,7 @@ def test_sketch_similarity(size):
     parts = [np.frombuffer(m[1], np.uint32).astype(np.uint64) for m in marks]
     whole = size <= near_copies.SKETCH
     near, exact = near_copies.similarities(parts[0], whole, parts[1][None], np.array([len(parts[1])]), np.array([whole]))
-    assert exact[0] == whole and near[0] == pytest.approx(0.8, abs=1e-9 if whole else 0.07)
+    assert exact[0] == whole and near[0] == pytest.approx(0.8, abs=1e-9 if whole else 0.04)
     assert near_copies.near_forest([m[0] for m in marks], [m[1] for m in marks]) == [(0, 1)] or not whole
 
 
