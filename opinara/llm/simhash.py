@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import written
+from opinara.llm.common import drop_written, written
 from opinara.llm.components import components
 from opinara.llm.near_copies import SIMILARITY, distinct_texts, near_links, sketch
 
@@ -190,12 +190,15 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     """
     if similarity is None:
         marked = written(with_fingerprints(df, key, text, shingle), "simhash")
-        found = links(marked)
+        joined = components(links(marked), "a", "b")
     else:
-        marked = written(with_marks(df, key, text, shingle), "simhash")
-        found = links(marked).unionAll(near_links(distinct_texts(marked), similarity))
+        sketched = written(with_marks(df, key, text, shingle), "simhash-sketched")
+        texts = distinct_texts(sketched)
+        marked = written(sketched.select("doc_id", "fp"), "simhash")
+        drop_written(sketched)
+        joined = components(links(marked).unionAll(near_links(texts, similarity)), "a", "b")
+        drop_written(texts)
     names = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    joined = components(found, "a", "b")
     linked = written(joined.withColumnRenamed("node", "fp").join(names, "fp"), "simhash-linked")
     least = linked.groupBy("component").agg(F.min("low").alias("component_id"))
     renamed = linked.join(least, "component").select("fp", "component_id")
