@@ -92,15 +92,17 @@ def probes(rows: np.ndarray, count: int, tables: int = TABLES) -> np.ndarray:
     return np.stack(found, axis=1)
 
 
-def probe_count(sample: np.ndarray, queries: int = 256, k: int = K, recall: float = RECALL) -> int:
-    """The least number of probes a table that finds ``recall`` of the sample's own neighbours."""
+def probe_count(sample: np.ndarray, largest: float, queries: int = 256, k: int = K, recall: float = RECALL) -> int:
+    """The least number of probes a table that finds ``recall`` of the sample's own neighbours.
+
+    ``largest``: the norm by which the index is lifted, that of the whole table, as the sample may lack its longest.
+    """
     if len(sample) < 2:
         return 2 * padded(sample.shape[1])
     asked = sample[:queries]
     score = asked @ sample.T
     np.fill_diagonal(score, -np.inf)
     near = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
-    largest = float(np.linalg.norm(sample, axis=1).max())
     home, width = axes(lifted(sample, largest, False)), 2 * padded(sample.shape[1])
     order = probes(lifted(asked, largest, True), width)
     turn = np.empty_like(order)
@@ -164,7 +166,7 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     asked = asked.where(F.size("v") == dim)
     width = 2 * padded(dim)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    number = probe_count(_matrix(sample.column("v")))
+    number = probe_count(_matrix(sample.column("v")), largest)
 
     def filed(batches):
         for b in batches:

@@ -39,6 +39,35 @@ def test_odd_vectors(spark):
     assert cross_polytope.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def recall(spark, x):
+    """Of the 20 nearest to each vector whose id divides by 20, the share that a search finds."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in cross_polytope.search(df, F.col("vec_id") % 20 == 0).select("query_id", "vec_id").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for i in range(0, len(x), 20):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hits += len(got.get(i, set()) & set(np.argsort(-score)[:20].tolist()))
+    return hits / (20 * len(range(0, len(x), 20)))
+
+
+def clustered(rows, clusters):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, rows)] + 0.5 * rng.normal(size=(rows, 64))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("longer", [2, 3])
+def test_recall_with_long_vectors_outside_the_sample(spark, longer):
+    x = clustered(12_000, 60)
+    order = spark.range(len(x)).orderBy(F.xxhash64("id"), "id").toPandas()["id"].to_numpy()
+    assert len(order) > cross_polytope.SAMPLE
+    x[order[-5:]] *= longer
+    assert recall(spark, x) >= 0.9
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(cross_polytope.turned(x, 1), axis=1), np.linalg.norm(x, axis=1))
