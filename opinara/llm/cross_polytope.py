@@ -7,8 +7,8 @@ and the vectors found are ranked by their inner product on the original componen
 Inner products become angles by one more component: with M the largest norm, x goes to
 (x, sqrt(M^2 - |x|^2)) / M and a query q to (q, 0) / |q|, so the nearest angle is the largest product.
 
-Work is dealt in blocks. Axes of a table are packed into tiles of about TILE vectors, an axis with more
-is split over several, and queries come in blocks of QUERIES; a task holds one tile and one block, so
+Work is dealt in blocks. Axes of a table are packed into tiles of about TILE vectors, never with those of
+another table, an axis with more is split over several, and queries come in blocks of QUERIES; a task holds one tile and one block, so
 no axis, however common, meets in one place, and what a task returns is K rows a query. Only counts by
 table and axis reach the driver, TABLES times twice the padded dimension at most, and the bounded
 sample on which the number of probes is set: the least whose recall on the sample is RECALL. (The
@@ -136,19 +136,24 @@ def usable(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int, float,
 
 
 def _ranked(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, allowed, k: int) -> tuple[list, list, list]:
-    """The ``k`` best of a tile for each query. ``allowed`` of (first, last): which pairs of these queries count."""
+    """The ``k`` best ids of a tile for each query. ``allowed`` of (first, last): which pairs of these queries count."""
     out: tuple[list, list, list] = ([], [], [])
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.nonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1))[0]  # the entries of an id, one after another
+    repeated = len(starts) < len(ids)
     for low in range(0, len(q), 128):
         part = slice(low, min(low + 128, len(q)))
         score = q[part] @ c.T
         score[~allowed(part)] = -np.inf
         score[query_ids[part][:, None] == ids[None, :]] = -np.inf
-        cut = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+        best_of = np.maximum.reduceat(score[:, by_id], starts, axis=1) if repeated else score
+        cut = np.partition(best_of, -k, axis=1)[:, -k] if best_of.shape[1] > k else np.full(len(score), -np.inf)
         slack = 1e-9 * np.abs(np.where(np.isfinite(score), score, 0)).max(axis=1, initial=0)
         for i in range(len(score)):
             at = np.nonzero((score[i] >= cut[i] - slack[i]) & (score[i] > -np.inf))[0]
             exact = (c[at] * q[low + i]).sum(axis=1)  # the same sum for equal vectors, whatever their place
-            best = np.lexsort((ids[at], -exact))[:k]
+            best = np.lexsort((ids[at], -exact))
+            best = best[np.sort(np.unique(ids[at[best]], return_index=True)[1])][:k] if repeated else best[:k]
             out[0].append(np.full(len(best), query_ids[low + i]))
             out[1].append(ids[at[best]])
             out[2].append(exact[best])
@@ -184,10 +189,10 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     index = written(rows.mapInArrow(filed, f"vec_id long, v {kind}, axis int"), "axes")
     queries = written(asked.mapInArrow(probing, f"query_id long, v {kind}, axes array<int>"), "probes")
     sizes = {r["axis"]: r["n"] for r in index.groupBy("axis").agg(F.count("*").alias("n")).collect()}
-    first, parts, tile, held = [0] * (TABLES * width), [0] * (TABLES * width), -1, TILE
+    first, parts, tile, held, table = [0] * (TABLES * width), [0] * (TABLES * width), -1, TILE, -1
     for axis in sorted(sizes):
-        if held + sizes[axis] > TILE or axis // width != (axis - 1) // width:
-            tile, held = tile + 1, 0
+        if held + sizes[axis] > TILE or axis // width != table:
+            tile, held, table = tile + 1, 0, axis // width
         first[axis], parts[axis] = tile, max(1, math.ceil(sizes[axis] / TILE))
         tile, held = tile + parts[axis] - 1, TILE if parts[axis] > 1 else held + sizes[axis]
     firsts, lots = F.lit(first), F.lit(parts)

@@ -68,6 +68,35 @@ def test_recall_with_long_vectors_outside_the_sample(spark, longer):
     assert recall(spark, x) >= 0.9
 
 
+def test_a_tile_keeps_distinct_ids():
+    rng = np.random.default_rng(0)
+    c = rng.normal(size=(60, 8))
+    ids, vectors = np.tile(np.arange(60), 4), np.tile(c, (4, 1))
+    vectors[60:120] *= 0.5  # an id may have several vectors: the nearest counts
+    _, found, scores = cross_polytope._ranked(np.array([100]), c[:1], ids, vectors, lambda part: np.ones((1, 1), bool) & np.ones((1, len(ids)), bool), 20)
+    want = np.maximum(c @ c[0], 0.5 * (c @ c[0]))
+    assert found[0].tolist() == np.argsort(-want)[:20].tolist() and np.allclose(scores[0], np.sort(want)[::-1][:20])
+
+
+def test_no_candidate_is_cut_by_copies(spark, monkeypatch):
+    x = clustered(2000, 20)
+    x[-5:] *= 3
+    largest = np.linalg.norm(x, axis=1).max()
+    home = cross_polytope.axes(cross_polytope.lifted(x, largest, False))
+    assert any(t * 256 not in home for t in range(1, cross_polytope.TABLES))  # a table's first axis is empty
+    monkeypatch.setattr(cross_polytope, "TILE", 3000)
+    monkeypatch.setattr(cross_polytope, "probe_count", lambda *_: 30)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in cross_polytope.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    probed = cross_polytope.probes(cross_polytope.lifted(x, largest, True), 30)
+    for i in range(0, len(x), 20):
+        found = [j for j in np.nonzero(np.isin(home, probed[i]).any(axis=1))[0] if j != i]
+        if len(found) >= 20:
+            assert got[i] == sorted(found, key=lambda j: -(x[j] @ x[i]))[:20]
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(cross_polytope.turned(x, 1), axis=1), np.linalg.norm(x, axis=1))
