@@ -62,7 +62,7 @@ def nearest(docs: DataFrame, text: Column, threshold: float = 0.75) -> DataFrame
     counted = weighted_reps(plain, groups)
     pairs = similar_pairs(counted, threshold)
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    best = both.groupBy("a").agg(F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("b"))).alias("x"))
+    best = both.groupBy("a").agg(F.min_by(F.struct("b", "similarity"), F.struct(-F.col("similarity"), "b")).alias("x"))
     near = best.join(members.where("n = 1"), F.col("a") == F.col("id")).select("id", F.col("x.b").alias("partner"), F.col("x.similarity").alias("similarity"))
     return copies.unionAll(near)
 

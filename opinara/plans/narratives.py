@@ -31,12 +31,17 @@ def markdown_lines(spark: SparkSession, sf: str) -> DataFrame:
     return narrate.markdown_lines(enriched(spark, sf).select(F.col("review_id").alias("id"), made.alias("text"))).select("id", F.col("pos").cast("long").alias("pos"), "kind", "line")
 
 
+def integrity(spark: SparkSession, sf: str) -> DataFrame:
+    reviews = enriched(spark, sf)
+    return narrate.integrity(risk.assess(reviews, risk.similar_reviews(reviews)))
+
+
 QUERIES = {
     "key_insights": key_insights,
     "headline": headline,
     "stats_context": stats_context,
     "markdown_lines": markdown_lines,
-    "integrity": lambda spark, sf: narrate.integrity(risk.assess(enriched(spark, sf))),
+    "integrity": integrity,
     "stream_trend_daily": lambda spark, sf: trend_stream(event_reviews(spark, sf)),
 }
 ORACLES = {

@@ -132,12 +132,52 @@ def test_risk_reasons_in_order(spark, reviews):
     assert got["x0"]["risk_reasons"][0] == "Part of a burst of 3" and got["x0"]["risk_score"] == 20 + 15 + 10 + 10 + 5 and got["x0"]["risk_level"] == "High"
 
 
+def test_integrity_counts_copies(spark, sf):
+    from collections import Counter
+
+    from opinara.plans import narratives
+    from opinara.plans.feedback import enriched
+
+    rows = risk.assess(enriched(spark, sf)).select("review_id", "review_text", "rating", "risk_score").collect()
+    words = {t: re.findall(r"[\w\u0900-\u097f]+", t.lower()) for t in {r["review_text"] for r in rows}}
+    terms = {t: Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for t, w in words.items()}
+    times = Counter(r["review_text"] for r in rows)
+    df = Counter()
+    for t, found in terms.items():
+        for term in found:
+            df[term] += times[t]
+    weights = {t: {k: n * (math.log((1 + len(rows)) / (1 + df[k])) + 1) for k, n in found.items()} for t, found in terms.items()}
+    norm = {t: math.sqrt(sum(w * w for w in v.values())) for t, v in weights.items()}
+
+    def best(t):
+        if times[t] > 1:
+            return 1.0
+        s, other = max((sum(w * weights[o].get(k, 0) for k, w in weights[t].items()) / norm[t] / norm[o], o) for o in weights if o != t)
+        return s if min(len(t), len(other)) / max(len(t), len(other)) >= 0.6 else 0.0
+
+    levels, copies, near = Counter(), 0, {t: best(t) for t in terms}
+    for r in rows:
+        points = 40 if near[r["review_text"]] >= 0.9 else 20 if near[r["review_text"]] >= 0.75 else 0
+        score = min(100, r["risk_score"] + points + (5 if points and not r["risk_score"] and r["rating"] in (1, 5) else 0))
+        levels["high" if score >= 55 else "medium" if score >= 30 else "low"] += 1
+        copies += round(near[r["review_text"]], 2) >= 0.9
+    got = narratives.QUERIES["integrity"](spark, sf).first().asDict()
+    assert copies > 0 and got == {"reviews": len(rows), "high": levels["high"], "medium": levels["medium"], "low": levels["low"], "copies": copies}
+
+
 def test_nearest_with_copies_and_ties(spark):
     docs = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four five"), (3, "one two three four six"), (4, "nothing alike here"), (5, ""), (6, None)], "id long, text string")
     got = {r["id"]: (r["partner"], r["similarity"]) for r in nearest(docs.where("text IS NOT NULL"), T.similarity_text(F.col("text")), 0.3).collect()}
     assert got[1] == (2, 1.0) and got[2] == (1, 1.0) and got[3][0] == 1 and 4 not in got
 
 
+def test_similar_reviews_with_text_ids(spark):
+    start = "one two three four five six seven eight nine "
+    rows = spark.createDataFrame([("a", start + "ten"), ("b", start + "eleven"), ("c", start + "twelve"), ("d", "nothing alike")], "review_id string, review_text string")
+    got = {r["review_id"]: r["similar_to"] for r in risk.similar_reviews(rows, 0.3).collect()}
+    assert got == {"a": "b", "b": "a", "c": "a"}
+
+
 def test_requests_group_by_synonyms(spark):
     rows = spark.createDataFrame(
         [("r1", "P", 4.0, "I wish it had an equalizer."), ("r2", "P", 3.0, "Nice. I wish it had an equaliser!"), ("r3", "Q", 5.0, "Please add a running mode."), ("r4", "Q", 5.0, "Works.")],
