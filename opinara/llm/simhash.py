@@ -215,11 +215,14 @@ def simhash_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, similarity: float | None = SIMILARITY) -> DataFrame:
-    """One row of each class, with the columns of ``df``: the one whose id names the class.
+    """One row of each class, with the columns of ``df``: the one with the least id; rows without an id come last.
 
-    By default texts link at a similarity of 0.8 over shingles of five words. Of rows that repeat the id
-    itself, one stays; rows without an id stay.
+    By default texts link at a similarity of 0.8 over shingles of five words. Classes are named by row, so rows that
+    share an id but are no near-duplicates all stay. Ties go to the least hash of the text, then of the row.
     """
-    found = classes(df.where(F.col(key).isNotNull()), key, text, shingle, similarity)
-    names = found.where("doc_id = component_id").select(F.col("component_id").alias("__keep")).distinct()
-    return df.join(names, F.col(key) == F.col("__keep"), "left_semi").dropDuplicates([key]).unionAll(df.where(F.col(key).isNull()))
+    marks = {"none": F.col(key).isNull(), "id": F.col(key), "digest": F.xxhash64(F.col(text)), "mark": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])}
+    rows = df.withColumn("__row", F.struct(*[c.alias(k) for k, c in marks.items()]))
+    found = classes(rows, "__row", text, shingle, similarity)
+    names = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*[F.col(f"component_id.{k}").alias(f"__{k}") for k in marks]).distinct()
+    same = [F.col(f"__row.{k}").eqNullSafe(F.col(f"__{k}")) for k in marks]
+    return rows.join(names, same, "left_semi").dropDuplicates(["__row"]).drop("__row")

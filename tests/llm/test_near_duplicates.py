@@ -75,6 +75,13 @@ def test_files_in_blocks(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 90]
 
 
+def test_rows_that_share_an_id(spark):
+    one, two, three, four, five = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcde")
+    rows = [(1, one), (5, one), (5, two), (5, three), (5, three), (9, four), (None, one), (None, four), (None, five), (None, five)]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, [(r["doc_id"], r["text"]) for r in got])) == sorted(map(str, [(1, one), (5, two), (5, three), (9, four), (None, five)]))
+
+
 @pytest.mark.parametrize("size", [100, 5000])
 def test_sketch_similarity(size):
     from opinara.llm import near_copies
