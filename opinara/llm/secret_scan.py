@@ -6,7 +6,8 @@ the starts, in code points.
 
 The method: two first-order Markov models over characters are counted from labelled samples, one
 of random strings and one of ordinary identifiers. A long token whose mean log-likelihood ratio
-favours the random model is a further span, unless it overlaps a span of the fixed patterns.
+favours the random model is a further span, unless it overlaps a span of the fixed patterns. Where the whole
+token does not, its parts between = and / count, and then the token, if any 20 characters in a row do.
 
 Null texts count as empty and have no spans. Repeated rows are scanned row by row. Texts of any
 length are scanned whole. Other columns are not looked at.
@@ -26,12 +27,16 @@ ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: A value behind a name, or a step of a path.
+PART = "[A-Za-z0-9+_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 #: Samples of each label, and the mean log-likelihood ratio a transition must exceed.
 SAMPLES = 3000
 THRESHOLD = 0.35
+#: Characters in a row that are judged by themselves, where ordinary ones would average a secret away.
+WINDOW = 20
 #: Fewer distinct characters, as in rules of dashes, make no secret.
 DISTINCT = 8
 
@@ -96,16 +101,25 @@ def train(samples: DataFrame) -> list[float]:
     return [log_p(True, a, b) - log_p(False, a, b) for a in ALPHABET for b in ALPHABET]
 
 
-def mean_ratio(token: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio over the transitions of ``token``."""
-    table = F.lit(ratios)
+def _steps(token: Column, table: Column) -> Column:
+    """The log-likelihood ratio of the transition to each character of ``token``; zero for the first."""
     places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return let(places, lambda p: F.transform(p, lambda x, i: F.when(i > 0, F.coalesce(F.get(table, F.get(p, i - 1) * len(ALPHABET) + x), F.lit(0.0))).otherwise(F.lit(0.0))))
+
+
+def _mean(steps: Column) -> Column:
+    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / (F.size(steps) - 1)
+
+
+def mean_ratio(token: Column, ratios: list[float] | Column) -> Column:
+    """Mean log-likelihood ratio over the transitions of ``token``."""
+    return _mean(_steps(token, ratios if isinstance(ratios, Column) else F.lit(ratios)))
 
-    def total(p: Column) -> Column:
-        steps = F.transform(p, lambda x, i: F.when(i > 0, F.get(table, F.get(p, i - 1) * len(ALPHABET) + x)).otherwise(F.lit(0.0)))
-        return F.aggregate(steps, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
-    return let(places, total) / (F.length(token) - 1)
+def _best_window(steps: Column) -> Column:
+    """The largest mean of any WINDOW characters in a row; there are no fewer."""
+    part = lambda i: F.aggregate(F.slice(steps, i, WINDOW - 1), F.lit(0.0), lambda s, x: s + x)
+    return F.array_max(F.transform(F.sequence(F.lit(2), F.size(steps) - (WINDOW - 2)), part)) / (WINDOW - 1)
 
 
 def _span(kind: int, start: Column, end: Column) -> Column:
@@ -143,10 +157,26 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(assign, match_spans(text, ACCESS, 1, always), match_spans(text, HEX, 2, always)))
 
 
+def _apart(spans: Column, taken: Column) -> Column:
+    return F.filter(spans, lambda s: ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+
 def random_spans(text: Column, base: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:
-    """Tokens that the random model explains better, apart from those that overlap a base span."""
-    found = match_spans(text, CANDIDATE, 3, lambda i, m: (F.size(F.array_distinct(F.split(m, ""))) >= DISTINCT) & (mean_ratio(m, ratios) > threshold))
-    return F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    """Tokens that the random model explains better as a whole, then their parts and tokens of which a window says so; none overlaps another or a base span."""
+
+    def found(table: Column) -> Column:
+        varied = lambda m: F.size(F.array_distinct(F.split(m, ""))) >= DISTINCT
+        whole = lambda i, m: varied(m) & (mean_ratio(m, table) > threshold)
+        within = lambda i, m: varied(m) & let(_steps(m, table), lambda s: (_mean(s) > threshold) | (_best_window(s) > threshold))
+        tries = F.concat(match_spans(text, CANDIDATE, 3, whole), match_spans(text, PART, 3, within), match_spans(text, CANDIDATE, 3, within))
+
+        def step(kept: Column, s: Column) -> Column:
+            return F.when(F.exists(kept, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), kept).otherwise(F.concat(kept, F.array(s)))
+
+        first = F.filter(tries, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        return F.sort_array(F.aggregate(first, _no_spans(), step))
+
+    return F.when(text.rlike(CANDIDATE), let(F.lit(ratios), found)).otherwise(_no_spans())
 
 
 def with_spans(df: DataFrame, text: str = "text", samples: DataFrame | None = None) -> DataFrame:

@@ -44,6 +44,21 @@ def test_model_tells_secrets_from_names(spark):
     assert {t: bool(n) for t, n in rows.items()} == tokens
 
 
+def test_secrets_behind_ordinary_characters(spark):
+    import random
+    import string
+
+    rng = random.Random(7)
+    heads = {"DATABASE_CONNECTION_CREDENTIAL=": 40, "client_credential=": 24, "private_key=": 24, "/api/internal/storage/project/": 40, "com/services/": 24, "aws_secret_access_key=": 40, "storage_service_account_settings_": 40}
+    made = [(h, f"see {h}{''.join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))} here") for h, n in heads.items() for _ in range(30)]
+    long = [("plain", "_".join(rng.choice(secret_scan._WORDS) for _ in range(8))) for _ in range(200)]
+    rows = spark.createDataFrame(made + long, "doc_id string, text string")
+    found = {r["doc_id"]: r["share"] for r in secret_scan.scan_secrets(rows).groupBy("doc_id").agg(F.avg((F.col("n_random") > 0).cast("double")).alias("share")).collect()}
+    assert found.pop("plain") <= 0.01 and min(found.values()) >= 0.9, found
+    kept = secret_scan.redact(rows.where("doc_id = 'client_credential='")).select("text").distinct().collect()
+    assert kept[0]["text"] == "see client_credential=[RANDOM] here"
+
+
 def test_held_out_samples(spark):
     many = secret_scan.labelled_samples(spark, 2 * secret_scan.SAMPLES)
     ratios = secret_scan.train(many.where(F.crc32(F.col("text").cast("binary")) % 2 == 0))
