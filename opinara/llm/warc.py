@@ -141,7 +141,7 @@ def _inflate(span: _Range, at: int) -> tuple[dict[str, str], bytes, int] | None:
         used += len(feed)
         if fields is None:
             fields = _parsed(out)
-            if fields is None and (len(out) > _HEAD or not b"WARC/1.".startswith(out[:7])):
+            if fields is None and (b"\r\n\r\n" in out or not b"WARC/1.".startswith(out[:7])):
                 return None
     if fields is None:
         return None

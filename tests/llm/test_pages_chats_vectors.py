@@ -140,6 +140,12 @@ def test_false_magic_is_passed_over():
         assert parts == ["1", "2"]
 
 
+def test_long_urls_are_read_back():
+    url = "data:" + np.random.default_rng(0).bytes(200_000).hex()
+    data = warc.member(1, url, b"one", "a" * 40, None, False) + warc.member(2, "u", b"two", "b" * 40, None, False)
+    assert [(f["x-key"], f["warc-target-uri"]) for _, f, _ in warc.records(io.BytesIO(data), 0, len(data), len(data))] == [("1", url), ("2", "u")]
+
+
 # --- pages as text -----------------------------------------------------------------------------------
 class Shown(HTMLParser):
     def __init__(self):
