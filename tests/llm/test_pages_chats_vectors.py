@@ -14,7 +14,9 @@ from opinara.llm import chat_format, cross_polytope, html_text, quality_model, r
 
 
 # --- nearest neighbours ------------------------------------------------------------------------------
-def test_recall_and_scores(spark, sf):
+@pytest.mark.parametrize("size", ["0.001", "0.1"])
+def test_recall_and_scores(spark, sf, size):
+    sf = sf.replace("0.001", size)
     data = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
     x, ids = np.stack(data["embedding"].to_numpy()).astype(float), data["vec_id"].to_numpy()
     got = registry.op1_cross_polytope(spark, sf).toPandas()
@@ -73,33 +75,65 @@ def test_a_tile_keeps_distinct_ids():
     c = rng.normal(size=(60, 8))
     ids, vectors = np.tile(np.arange(60), 4), np.tile(c, (4, 1))
     vectors[60:120] *= 0.5  # an id may have several vectors: the nearest counts
-    _, found, scores = cross_polytope._ranked(np.array([100]), c[:1], ids, vectors, lambda part: np.ones((1, 1), bool) & np.ones((1, len(ids)), bool), 20)
+    tile = cross_polytope.Tile(ids, vectors, rng.integers(0, 32, (len(ids), 2)).astype(np.int32))
+    _, found, scores = next(tile.ranked(np.array([100]), c[:1], np.zeros((2, 1, 32)), 0.0, 20))
     want = np.maximum(c @ c[0], 0.5 * (c @ c[0]))
-    assert found[0].tolist() == np.argsort(-want)[:20].tolist() and np.allclose(scores[0], np.sort(want)[::-1][:20])
+    assert found.tolist() == np.argsort(-want)[:20].tolist() and np.allclose(scores, np.sort(want)[::-1][:20])
 
 
-def test_no_candidate_is_cut_by_copies(spark, monkeypatch):
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_candidates_are_those_of_the_probed_buckets(depth):
+    x = clustered(3000, 20)
+    q = x[:50]
+    code = cross_polytope.codes(cross_polytope.lifted(x, 1.0, False), 0, depth)
+    cost = cross_polytope.costs(cross_polytope.lifted(q, 1.0, True), 0, depth)
+    tile = cross_polytope.Tile(np.arange(len(x)), x, code)
+    bound = 0.03 * depth
+    of, at = tile.candidates(cost, bound)
+    total = sum(cost[p][:, code[:, p]] for p in range(depth))
+    assert sorted(zip(of.tolist(), tile.ids[at].tolist())) == sorted(zip(*(z.tolist() for z in np.nonzero(total <= bound))))
+
+
+def test_nothing_but_candidates_is_ranked(spark, monkeypatch):
     x = clustered(2000, 20)
     x[-5:] *= 3
-    largest = np.linalg.norm(x, axis=1).max()
-    home = cross_polytope.axes(cross_polytope.lifted(x, largest, False))
-    assert any(t * 256 not in home for t in range(1, cross_polytope.TABLES))  # a table's first axis is empty
-    monkeypatch.setattr(cross_polytope, "TILE", 3000)
-    monkeypatch.setattr(cross_polytope, "probe_count", lambda *_: 30)
+    largest, depth, bound = np.linalg.norm(x, axis=1).max(), 2, 0.035
+    monkeypatch.setattr(cross_polytope, "TILE", 700)
+    monkeypatch.setattr(cross_polytope, "LOT", 30)
+    monkeypatch.setattr(cross_polytope, "bound_for", lambda *_: bound)
+    monkeypatch.setattr(cross_polytope, "polytopes", lambda *_: depth)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
     for r in cross_polytope.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
-    probed = cross_polytope.probes(cross_polytope.lifted(x, largest, True), 30)
-    for i in range(0, len(x), 20):
-        found = [j for j in np.nonzero(np.isin(home, probed[i]).any(axis=1))[0] if j != i]
-        if len(found) >= 20:
-            assert got[i] == sorted(found, key=lambda j: -(x[j] @ x[i]))[:20]
+    asked = np.arange(0, len(x), 20)
+    met, up, down = np.zeros((len(asked), len(x)), bool), cross_polytope.lifted(x[asked], largest, True), cross_polytope.lifted(x, largest, False)
+    for t in range(cross_polytope.TABLES):
+        cost, code = cross_polytope.costs(up, t, depth), cross_polytope.codes(down, t, depth)
+        met |= sum(cost[p][:, code[:, p]] for p in range(depth)) <= bound
+    met[np.arange(len(asked)), asked] = False
+    assert 0.02 < met.mean() < 0.6
+    for i, row in zip(asked.tolist(), met):
+        found = np.nonzero(row)[0].tolist() if row.sum() >= 20 else [j for j in range(len(x)) if j != i]
+        assert got[i] == sorted(found, key=lambda j: -(x[j] @ x[i]))[:20]
+
+
+def test_copies_of_one_vector(spark, monkeypatch):
+    x = np.concatenate([np.tile(clustered(1, 1), (700, 1)), clustered(1400, 30)])
+    monkeypatch.setattr(cross_polytope, "TILE", 100)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = cross_polytope.search(df, F.col("vec_id") == 40).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(20))
+    assert recall(spark, x[650:]) >= 0.9
+
+
+def test_buckets_grow_with_the_table():
+    assert [cross_polytope.polytopes(n, 64) for n in (0, 500, 2000, 10_000, 1_000_000, 10**9)] == [1, 1, 1, 2, 3, 4]
 
 
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
-    assert np.allclose(np.linalg.norm(cross_polytope.turned(x, 1), axis=1), np.linalg.norm(x, axis=1))
+    assert np.allclose(np.linalg.norm(cross_polytope.turned(x, 1, 0), axis=1), np.linalg.norm(x, axis=1))
 
 
 # --- archives ----------------------------------------------------------------------------------------
