@@ -27,15 +27,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node``, ``component`` (the least node reachable) for every node of a link.
 
-    Each round is written to the shared folder. It ends when a round changes nothing, seen in the
-    count and an order-free checksum of the links; nothing else reaches the driver.
+    Each round is written to the shared folder. It ends when a round changes nothing, however many that takes, seen
+    in the count and an order-free checksum of the links; nothing else reaches the driver.
     """
     now = written(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct(), "links")
     seen, rows = None, now.count()
-    for _ in range(rounds):
+    while True:
         after = written(_star(_star(now, True), False), "links", rows)
         drop_written(now)
         now = after
@@ -43,7 +43,5 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         if mark == seen:
             break
         seen, rows = mark, mark["n"]
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots).distinct()
