@@ -9,7 +9,7 @@ and those whose style sets ``display: none`` or ``visibility: hidden``.
 
 Everything else is rendered: white space collapses outside ``pre``; blocks start on a line of their own,
 paragraphs, headings, lists and tables with a blank line around them; list items carry a bullet or their
-number and indent with their depth; a table's cells are padded to the width of their column (cells longer
+number and indent with their depth, up to DEEPEST; a table's cells are padded to the width of their column (cells longer
 than WIDEST stand out of it, so padding stays in proportion to the cells).
 
 Null and empty pages give null and empty texts. Pages are rendered row by row, so repeated rows give equal
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDEST = 60
+#: Columns of indentation at most; what is nested deeper stays there, so output is in proportion to the page.
+DEEPEST = 160
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -177,8 +179,8 @@ class _Canvas:
         self.parts: list[str] = []
         self.space = False
         self.margin = 0
-        self.indent = [""]
-        self.marker: str | None = None
+        self.indent = [0]
+        self.marker: tuple[int, str] | None = None
 
     def text(self, data: str) -> None:
         words = _SPACES.sub(" ", data)
@@ -206,8 +208,8 @@ class _Canvas:
         if self.parts or always:
             if self.margin and self.lines:
                 self.lines.extend([""] * self.margin)
-            front = self.indent[-1] if self.marker is None else self.marker
-            self.lines.append((front + "".join(self.parts)).rstrip())
+            depth, bullet = (self.indent[-1], "") if self.marker is None else self.marker
+            self.lines.append((" " * min(depth, DEEPEST) + bullet + "".join(self.parts)).rstrip())
             self.parts, self.marker, self.margin = [], None, 0
         self.space = False
 
@@ -288,10 +290,10 @@ def render(root: Node) -> str:
                     number = _number(told.get("value"), number)
                     lists[-1] = number + 1
                 bullet = "* " if number is None else f"{number}. "
-                now.marker = now.indent[-1] + bullet
-                now.indent.append(now.indent[-1] + " " * len(bullet))
+                now.marker = now.indent[-1], bullet
+                now.indent.append(now.indent[-1] + len(bullet))
             elif tag in ("dd", "blockquote"):
-                now.indent.append(now.indent[-1] + "    ")
+                now.indent.append(now.indent[-1] + 4)
             elif tag == "pre":
                 pre += 1
             todo.append((node, True))
