@@ -180,7 +180,7 @@ def labelled_sample(df: DataFrame, labels: DataFrame, key: str, text: str, label
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE) -> Model:
-    """Fit on the sample, in one task; one row, the model, comes back."""
+    """Fit on the sample, in one task, which reads nothing but the tokens of the sample; one row, the model, comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
@@ -192,7 +192,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     import pickle
 
-    got = labelled_sample(df, labels, key, text, label, rows).coalesce(1).mapInArrow(run, "model binary").collect()
+    got = labelled_sample(df, labels, key, text, label, rows).repartition(1).mapInArrow(run, "model binary").collect()
     return Model(**pickle.loads(bytes(got[0]["model"]))) if got else fit([], np.empty(0))
 
 
