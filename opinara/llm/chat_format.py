@@ -2,7 +2,8 @@
 
 A transcript is lines of text in which speakers are marked in some style, or not at all. The model has a
 state for the first and one for the further lines of each role. A line shows four features: the class of
-its speaker marker (a word known for a role, some other marker, none), its length, whether it ends as a
+its speaker marker (a word known for a role, none, or an unknown word, by its turn among the unknown ones of the
+transcript and their number, so names tell speakers apart without being known), its length, whether it ends as a
 question, and whether a blank line stands before it. Start, transition and feature probabilities are
 counted on labelled transcripts, with add-one smoothing, and the roles are the Viterbi path.
 
@@ -10,11 +11,12 @@ Turns are rendered as ``<|im_start|>role``, the text without its marker, ``<|im_
 openings inside a text are set apart by a space, so that a rendering can be read back.
 
 Null and empty transcripts have no turns and render to an empty text; repeated rows render alike; ties of
-paths go to the earlier state. Transcripts are handled row by row, in memory of a few bytes for each line.
+paths go to the earlier state. Transcripts are handled row by row, in memory in proportion to their text: the
+path is found over the whole transcript, however long.
 
-``transcripts`` makes raw transcripts from a table of turns. Conversations are dealt in parts of PART turns
-(by turn number), sorted, and streamed, so a conversation of any length spreads over tasks and no list of
-its turns is ever gathered. Rows without a conversation or turn sort first; ties of turns go by text.
+``transcripts`` makes raw transcripts from a table of turns, one for each conversation, from a sorted stream:
+a task holds one conversation at a time. (A transcript is one value, so a conversation must fit in a row, 2 GB.)
+Rows without a conversation are one of their own; rows without a turn sort first; ties of turns go by text.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from pyspark.sql import functions as F
 
 ROLES = ("system", "user", "assistant")
 STATES = tuple((role, first) for role in ROLES for first in (True, False))
-PART = 256
 #: Conversations, by smallest hash of their id, whose transcripts the model is counted on.
 SAMPLE = 500
 
@@ -44,6 +45,8 @@ STYLES = (
     ("Note: ", "Q: ", "A: "),
     ("[system] ", "[user] ", "[bot] "),
     ("admin> ", "guest> ", "helper> "),
+    ("Priya: ", "Ben: ", "Ilse: "),
+    ("<stage> ", "<caller> ", "<desk> "),
 )
 _KNOWN = {
     "system": ("system", "context", "sys", "note", "instructions"),
@@ -51,31 +54,39 @@ _KNOWN = {
     "assistant": ("assistant", "ai", "a", "answer", "bot", "response", "model", "agent", "helper"),
 }
 _CLASS = {word: role for role, words in _KNOWN.items() for word in words}
-_CLASSES = (*ROLES, "other", "none")
+#: Unknown marker words of a transcript told apart, by turn and number; further ones are "other".
+APART = 3
+_CLASSES = (*ROLES, "none", "other", *(f"{turn} of {number}" for number in range(1, APART + 1) for turn in range(1, number + 1)))
 _MARKER = re.compile(r"\s*(?:#{2,4}\s*([A-Za-z]{1,16})\s*:?|\[([A-Za-z]{1,16})\]:?|\*\*([A-Za-z]{1,16}):?\*\*:?|<\|?([A-Za-z]{1,16})\|?>:?|([A-Za-z]{1,16})\s?[:>](?=\s|$))[ \t]*")
 _SIZES = (len(_CLASSES), 4, 2, 2)
 
 
-def marker(line: str) -> tuple[str, int]:
-    """Class of a line's speaker marker and where the text after it starts."""
+def marker(line: str) -> tuple[str | None, int]:
+    """The word of a line's speaker marker and where the text after it starts."""
     found = _MARKER.match(line)
-    if not found:
-        return "none", 0
-    return _CLASS.get(next(g for g in found.groups() if g).lower(), "other"), found.end()
+    return (next(g for g in found.groups() if g).lower(), found.end()) if found else (None, 0)
+
+
+def classes_of(words: list[str | None]) -> list[int]:
+    """The class of each line's marker word."""
+    unknown = list(dict.fromkeys(w for w in words if w and w not in _CLASS))
+    turn = {w: f"{k} of {len(unknown)}" if len(unknown) <= APART else "other" for k, w in enumerate(unknown, 1)}
+    return [_CLASSES.index("none" if w is None else _CLASS.get(w) or turn[w]) for w in words]
 
 
 def features(lines: list[str]) -> np.ndarray:
     """One row for each line that is not blank: marker class, length, question, blank line before."""
-    rows, blank = [], False
+    rows, words, blank = [], [], False
     for line in lines:
         bare = line.strip()
         if not bare:
             blank = True
             continue
         size = len(bare)
-        rows.append((_CLASSES.index(marker(line)[0]), (size > 30) + (size > 90) + (size > 250), bare[-1] in "?？", blank))
+        words.append(marker(line)[0])
+        rows.append(((size > 30) + (size > 90) + (size > 250), bare[-1] in "?？", blank))
         blank = False
-    return np.array(rows, np.int64).reshape(-1, 4)
+    return np.column_stack([np.array(classes_of(words), np.int64).reshape(-1, 1), np.array(rows, np.int64).reshape(-1, 3)])
 
 
 @dataclass
@@ -120,10 +131,19 @@ def counted(rows: list[tuple[str, int, int, int]]) -> Model:
     return Model(np.where([first for _, first in STATES], _logged(start), -np.inf), np.where(impossible.reshape(n, n), -np.inf, _logged(step)), [_logged(s) for s in shows])
 
 
+def path_of(model: Model, text: str | None) -> tuple[list[str], list[int]]:
+    """The lines of a transcript, and the likeliest state of each that is not blank."""
+    lines = (text or "").replace("\r\n", "\n").split("\n")
+    return lines, model.roles(features(lines))
+
+
 def turns(model: Model, text: str | None) -> list[tuple[str, str]]:
     """Role and text of each turn of a transcript."""
-    lines = (text or "").replace("\r\n", "\n").split("\n")
-    path = iter(model.roles(features(lines)))
+    return turns_on(*path_of(model, text))
+
+
+def turns_on(lines: list[str], states: list[int]) -> list[tuple[str, str]]:
+    path = iter(states)
     found: list[tuple[str, list[str]]] = []
     for line in lines:
         if not line.strip():
@@ -162,23 +182,22 @@ def transcript(conversation: str, rows: list[tuple[str | None, str | None]]) ->
 
 
 def transcripts(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``conv_id``, ``part``, ``text``, ``states`` (of its lines) from one row for each turn."""
+    """``conv_id``, ``text``, ``states`` (of its lines) from one row for each turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("text", pa.string()), ("states", pa.list_(pa.int32()))])
+        schema = pa.schema([("conv_id", pa.int64()), ("text", pa.string()), ("states", pa.list_(pa.int32()))])
         key, held, done = None, [], []
 
         def flush() -> None:
             if held:
-                made, states = transcript(str(key[0]), held)
-                done.append((key[0], key[1], made, states))
+                done.append((key, *transcript(str(key), held)))
                 held.clear()
 
         for batch in batches:
-            for conv, part, who, said in zip(*(c.to_pylist() for c in batch.columns)):
-                if (conv, part) != key or len(held) >= PART:
+            for conv, who, said in zip(*(c.to_pylist() for c in batch.columns)):
+                if conv != key:
                     flush()
-                    key = (conv, part)
+                    key = conv
                 held.append((who, said))
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), schema.types)], schema=schema)
@@ -187,15 +206,9 @@ def transcripts(df: DataFrame, conversation: str = "conv_id", turn: str = "turn"
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), schema.types)], schema=schema)
 
-    rows = df.select(
-        F.col(conversation).cast("long").alias("conv_id"),
-        F.floor(F.col(turn) / PART).cast("long").alias("part"),
-        F.col(turn).alias("__turn"),
-        F.col(role).alias("role"),
-        F.col(text).alias("text"),
-    )
-    dealt = rows.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "__turn", "text", "role")
-    return dealt.select("conv_id", "part", "role", "text").mapInArrow(run, "conv_id long, part long, text string, states array<int>")
+    rows = df.select(F.col(conversation).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text", "role")
+    return dealt.select("conv_id", "role", "text").mapInArrow(run, "conv_id long, text string, states array<int>")
 
 
 def train(labelled: DataFrame) -> Model:
@@ -220,16 +233,19 @@ def train(labelled: DataFrame) -> Model:
 
 
 def parse_transcripts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``roles`` (of the turns) and ``chat`` (their rendering)."""
+    """``df`` with ``roles`` (of the turns), ``chat`` (their rendering) and ``path`` (the states of the lines that are not blank)."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [turns(model, t.as_py()) for t in batch.column(names.index(text))]
-            extra = [pa.array([[r for r, _ in f] for f in found], pa.list_(pa.string())), pa.array([rendered(f) for f in found], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "roles", "chat"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", roles array<string>, chat string"
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                paths = [path_of(model, t.as_py()) for t in part.column(names.index(text))]
+                found = [turns_on(*p) for p in paths]
+                extra = [pa.array([[r for r, _ in f] for f in found], pa.list_(pa.string())), pa.array([rendered(f) for f in found], pa.string()), pa.array([p[1] for p in paths], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*names, "roles", "chat", "path"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", roles array<string>, chat string, path array<int>"
     return df.mapInArrow(run, schema)
 
 
@@ -240,10 +256,19 @@ def _roles_of(states: Column) -> Column:
 
 
 def format_conversations(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Raw transcripts of all conversations, parsed and rendered: ``conv_id``, ``part``, ``n_turns``, ``roles``,
-    ``chat`` and ``recovered`` (whether the roles are those the transcript was written from)."""
+    """Raw transcripts of all conversations, parsed and rendered: ``conv_id``, ``n_turns``, ``roles``, ``chat``,
+    ``recovered`` (whether the roles are those the transcript was written from) and ``lines_right`` (the share of
+    lines whose role is)."""
     raw = transcripts(df)
     few = df.select(F.col("conv_id").alias("__id")).where("conv_id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    chosen = df.join(F.broadcast(few), F.col("conv_id") == F.col("__id"), "left_semi").where(F.col("turn") < PART)
+    chosen = df.join(F.broadcast(few), F.col("conv_id") == F.col("__id"), "left_semi")
     parsed = parse_transcripts(raw, train(transcripts(chosen)))
-    return parsed.select("conv_id", "part", F.size("roles").cast("long").alias("n_turns"), "roles", "chat", (F.col("roles") == _roles_of(F.col("states"))).alias("recovered"))
+    right = F.size(F.filter(F.zip_with("path", "states", lambda a, b: F.floor(a / 2) == F.floor(b / 2)), lambda same: same))
+    return parsed.select(
+        "conv_id",
+        F.size("roles").cast("long").alias("n_turns"),
+        "roles",
+        "chat",
+        (F.col("roles") == _roles_of(F.col("states"))).alias("recovered"),
+        F.when(F.size("states") == 0, 1.0).otherwise(right / F.size("states")).alias("lines_right"),
+    )
