@@ -5,12 +5,17 @@ Only DataFrame expressions run on the main path. Positions come from the pieces
 the starts, in code points.
 
 The method: two first-order Markov models over characters are counted from labelled samples, one
-of random strings and one of ordinary identifiers. A long token whose mean log-likelihood ratio
-favours the random model is a further span, unless it overlaps a span of the fixed patterns. Where the whole
-token does not, its parts between = and / count, and then the token, if any 20 characters in a row do.
+of random strings and one of ordinary identifiers, made of words of the table and of common code words. A long
+token whose mean log-likelihood ratio favours the random model is a further span, unless it overlaps a span of the
+fixed patterns. Where the whole token does not, its parts between = and / count, and then the token, if any 20
+characters in a row do.
+
+Long texts are scanned in pieces of about PIECE characters, cut only where no pattern can match across, so spans
+are those of the whole text, and time grows with the text however many spans it has. Without such a place a piece
+goes on; within one, time grows with the square of its spans.
 
 Null texts count as empty and have no spans. Repeated rows are scanned row by row. Texts of any
-length are scanned whole. Other columns are not looked at.
+length are scanned whole. Other columns are not looked at, and keep their names and values.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm.common import let
+from opinara.llm.common import free, let
 
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{12,}"
@@ -30,8 +35,14 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: A value behind a name, or a step of a path.
 PART = "[A-Za-z0-9+_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
+PIECE = 4096
+#: After a character that is in no pattern, after one space that does not stand beside a sign of assignment, or
+#: after a colon that no name of a secret, quote or space precedes.
+_CUT = "(?:(?<=[^A-Za-z0-9+/_.=:\"'\\x20-])|(?<=[^:=\\x20]\\x20)(?![:=\\x20])|(?<=[^dtnyDTNY\"'\\x20]:))"
 
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
+#: Words of the table that ordinary identifiers are made of, and the documents they come from, at most in the mean.
+CORPUS_WORDS, CORPUS_DOCS = 1000, 400
 #: Samples of each label, and the mean log-likelihood ratio a transition must exceed.
 SAMPLES = 3000
 THRESHOLD = 0.35
@@ -40,6 +51,7 @@ WINDOW = 20
 #: Fewer distinct characters, as in rules of dashes, make no secret.
 DISTINCT = 8
 
+#: Common words of code.
 _WORDS = (
     "account action address agent amount answer array article author balance batch block border branch buffer build "
     "button cache channel client cluster code column commit config content context control counter country create "
@@ -58,13 +70,32 @@ _WORDS = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, per_label: int = SAMPLES) -> DataFrame:
-    """``text``, ``random``: digests in four alphabets, and identifiers in five styles of words."""
-    words = F.array(*[F.lit(w) for w in _WORDS])
+def corpus_words(df: DataFrame, text: str = "text") -> list[str]:
+    """At most CORPUS_WORDS words of four to twelve letters, from one document in as many as leave about CORPUS_DOCS.
+
+    Documents and words are drawn by hash, so the same table gives the same words, whatever its partitions.
+    """
+    every = max(1, df.count() // CORPUS_DOCS)
+    some = df.where(F.pmod(F.xxhash64(F.col(text)), F.lit(every)) == 0)
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?<![a-z])[a-z]{4,12}(?![a-z])"), F.lit(0)))
+    few = F.slice(F.sort_array(F.transform(found, lambda w: F.struct(F.xxhash64(w).alias("lot"), w.alias("word")))), 1, CORPUS_WORDS)
+    words = some.select(F.explode(few).alias("w")).select("w.*").distinct().orderBy("lot", "word").limit(CORPUS_WORDS)
+    return [r["word"] for r in words.collect()]
+
+
+def labelled_samples(spark: SparkSession, per_label: int = SAMPLES, words: list[str] | None = None) -> DataFrame:
+    """``text``, ``random``: digests in four alphabets, and identifiers in five styles of words.
+
+    Half of the identifiers are of ``words``, if there are any, the others of common code words.
+    """
+    common, told = F.array(*[F.lit(w) for w in _WORDS]), F.lit(words) if words else None
     rows = spark.range(per_label)
 
     def word(k: int) -> Column:
-        return F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(_WORDS))) + 1).cast("int"))
+        lot = F.xxhash64("id", F.lit(k))
+        of = lambda these, n: F.element_at(these, (F.pmod(lot, F.lit(n)) + 1).cast("int"))
+        usual = of(common, len(_WORDS))
+        return usual if told is None else F.when(F.floor(F.col("id") / 5) % 2 == 0, usual).otherwise(of(told, len(words)))
 
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     coded = F.base64(F.unhex(digest))
@@ -131,7 +162,7 @@ def _no_spans() -> Column:
 
 
 def match_spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the matches for which ``keep`` of (match index, match) holds, in order."""
+    """Spans of the matches for which ``keep`` of (match index, match, start, end) holds, in order."""
 
     def placed(found: Column) -> Column:
         def walk(gaps: Column) -> Column:
@@ -140,7 +171,7 @@ def match_spans(text: Column, pattern: str, kind: int, keep) -> Column:
             def step(state: Column, item: Column) -> Column:
                 begin = state["at"] + F.length(F.get(gaps, item["i"]))
                 end = begin + F.length(item["m"])
-                spans = F.when(keep(item["i"], item["m"]), F.concat(state["spans"], F.array(_span(kind, begin, end)))).otherwise(state["spans"])
+                spans = F.when(keep(item["i"], item["m"], begin, end), F.concat(state["spans"], F.array(_span(kind, begin, end)))).otherwise(state["spans"])
                 return F.struct(end.alias("at"), spans.alias("spans"))
 
             return F.aggregate(F.transform(found, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), start, step, lambda s: s["spans"])
@@ -152,13 +183,13 @@ def match_spans(text: Column, pattern: str, kind: int, keep) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All spans of the fixed patterns, by start and then kind."""
-    always = lambda i, m: F.lit(True)
-    assign = let(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda values: F.when(F.size(values) == 0, _no_spans()).otherwise(match_spans(text, ASSIGN, 0, lambda i, m: F.length(F.get(values, i)) >= 8)))
+    always = lambda *_: F.lit(True)
+    assign = let(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda values: F.when(F.size(values) == 0, _no_spans()).otherwise(match_spans(text, ASSIGN, 0, lambda i, *_: F.length(F.get(values, i)) >= 8)))
     return F.sort_array(F.concat(assign, match_spans(text, ACCESS, 1, always), match_spans(text, HEX, 2, always)))
 
 
-def _apart(spans: Column, taken: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+def _apart(start: Column, end: Column, taken: Column) -> Column:
+    return ~F.exists(taken, lambda b: (b["start"] < end) & (start < b["end"]))
 
 
 def random_spans(text: Column, base: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:
@@ -166,24 +197,45 @@ def random_spans(text: Column, base: Column, ratios: list[float], threshold: flo
 
     def found(table: Column) -> Column:
         varied = lambda m: F.size(F.array_distinct(F.split(m, ""))) >= DISTINCT
-        whole = lambda i, m: varied(m) & (mean_ratio(m, table) > threshold)
-        within = lambda i, m: varied(m) & let(_steps(m, table), lambda s: (_mean(s) > threshold) | (_best_window(s) > threshold))
+        whole = lambda i, m, a, z: _apart(a, z, base) & varied(m) & (mean_ratio(m, table) > threshold)
+        within = lambda i, m, a, z: _apart(a, z, base) & varied(m) & let(_steps(m, table), lambda s: (_mean(s) > threshold) | (_best_window(s) > threshold))
         tries = F.concat(match_spans(text, CANDIDATE, 3, whole), match_spans(text, PART, 3, within), match_spans(text, CANDIDATE, 3, within))
 
         def step(kept: Column, s: Column) -> Column:
-            return F.when(F.exists(kept, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), kept).otherwise(F.concat(kept, F.array(s)))
+            return F.when(_apart(s["start"], s["end"], kept), F.concat(kept, F.array(s))).otherwise(kept)
 
-        first = F.filter(tries, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.sort_array(F.aggregate(first, _no_spans(), step))
+        return F.sort_array(F.aggregate(tries, _no_spans(), step))
 
     return F.when(text.rlike(CANDIDATE), let(F.lit(ratios), found)).otherwise(_no_spans())
 
 
-def with_spans(df: DataFrame, text: str = "text", samples: DataFrame | None = None) -> DataFrame:
-    """``df`` with ``__text`` (never null), ``__base`` and ``__added``: arrays of start, kind, end."""
-    ratios = train(labelled_samples(df.sparkSession) if samples is None else samples)
-    placed = df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__base", base_spans(F.col("__text")))
-    return placed.withColumn("__added", random_spans(F.col("__text"), F.col("__base"), ratios))
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters or more, cut where no pattern matches across."""
+    cut = f"(?s).{{{PIECE},}}?(?:{_CUT}|\\z)|.+"
+    return F.when(F.length(text) <= PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(cut), F.lit(0)))
+
+
+def with_pieces(df: DataFrame, text: str = "text", samples: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """``df`` with an array of ``at`` (the start), ``text``, ``base`` and ``added`` (arrays of start, kind, end, within the piece), and its name."""
+    ratios = train(labelled_samples(df.sparkSession, words=corpus_words(df, text)) if samples is None else samples)
+    name = free(df, "__pieces")
+
+    def scanned(piece: Column) -> Column:
+        return let(base_spans(piece), lambda base: F.struct(piece.alias("text"), base.alias("base"), random_spans(piece, base, ratios).alias("added")))
+
+    def placed(parts: Column) -> Column:
+        size = lambda s, i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(s, -1) + F.length(F.get(parts, i - 1)["text"]))
+        starts = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), F.array().cast("array<int>"), lambda s, i: F.concat(s, F.array(size(s, i))))
+        return let(starts, lambda s: F.transform(parts, lambda p, i: F.struct(F.get(s, i).alias("at"), p["text"].alias("text"), p["base"].alias("base"), p["added"].alias("added"))))
+
+    found = F.transform(pieces(F.coalesce(F.col(text), F.lit(""))), scanned)
+    return df.withColumn(name, let(found, placed)), name
+
+
+def _all(parts: Column, field: str) -> Column:
+    """The spans of all pieces, placed in the text."""
+    moved = lambda p: F.transform(p[field], lambda s: F.struct((s["start"] + p["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + p["at"]).alias("end")))
+    return F.flatten(F.transform(parts, moved))
 
 
 def _joined(spans: Column) -> Column:
@@ -191,31 +243,35 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", samples: DataFrame | None = None) -> DataFrame:
     """Per row: counts of the fixed kinds, a digest of their spans, and all spans."""
-    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
-    return with_spans(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select(
+    placed, name = with_pieces(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), samples=samples)
+    spans = placed.select("doc_id", _all(F.col(name), "base").alias("base"), _all(F.col(name), "added").alias("added"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return spans.select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"),
-        _joined(F.sort_array(F.concat("__base", "__added"))).alias("spans"),
-        F.size("__added").cast("long").alias("n_random"),
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.sort_array(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_random"),
     )
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
+def redact(df: DataFrame, text: str = "text", samples: DataFrame | None = None) -> DataFrame:
     """``df`` with every span replaced by its kind in brackets; overlapping spans become one."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    whole, spans = F.col("__text"), F.sort_array(F.concat("__base", "__added"))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(state["out"], F.substring(whole, state["at"] + 1, s["start"] - state["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(state["out"]).alias("out"))
+    def clean(p: Column) -> Column:
+        def step(state: Column, s: Column) -> Column:
+            fresh = s["start"] >= state["at"]
+            piece = F.concat(state["out"], F.substring(p["text"], state["at"] + 1, s["start"] - state["at"]), F.get(names, s["kind"]))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(state["out"]).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.aggregate(F.sort_array(F.concat(p["base"], p["added"])), start, step, lambda s: F.concat(s["out"], F.substring(p["text"], s["at"] + 1, F.length(p["text"]))))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole))))
-    untouched = F.size("__base") + F.size("__added") == 0
-    return with_spans(df, text).withColumn(text, F.when(untouched, F.col(text)).otherwise(clean)).drop("__text", "__base", "__added")
+    placed, name = with_pieces(df, text, samples)
+    untouched = F.forall(name, lambda p: F.size(p["base"]) + F.size(p["added"]) == 0)
+    return placed.withColumn(text, F.when(untouched, F.col(text)).otherwise(F.array_join(F.transform(name, clean), ""))).drop(name)

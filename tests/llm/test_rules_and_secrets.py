@@ -71,8 +71,44 @@ def test_redaction(spark, odd):
     out = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
     assert out[0] == "token = short, [ASSIGN]" and out[6] == "" and out[7] is None and out[3].endswith("[ASSIGN] [HEX]")
     assert not any(brute(t) for t in out.values())
-    again = secret_scan.redact(odd)
-    assert again.columns == [c for c in odd.columns if c != "__text"] or again.count() == odd.count()
+    again = secret_scan.redact(odd.withColumn("__pieces", F.lit("clash")))
+    assert again.columns == [*odd.columns, "__pieces"] and {(r["__text"], r["__pieces"]) for r in again.collect()} == {("clash", "clash")}
+    assert again.where("doc_id = 4").first()["text"] == odd.where("doc_id = 4").first()["text"]
+
+
+def test_pieces_cut_no_match(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    bits = ["password", "token", " ", "  ", ":", "=", '"', "'", ",", "\n", "AKIA", "ABCDEFGH1234", "deadbeef", "0123456789abcdef", "api_key", "x", "é", "😀", "/", "secret = ", "Zx8kQw92LmPoRt5vBn"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(50, 400))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    samples = secret_scan.labelled_samples(spark)
+    whole = {r["doc_id"]: r for r in secret_scan.scan_secrets(df, samples=samples).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(df, samples=samples).collect()}
+    monkeypatch.setattr(secret_scan, "PIECE", 20)
+    parted = {r["doc_id"]: r for r in secret_scan.scan_secrets(df, samples=samples).collect()}
+    assert whole == parted and clean == {r["doc_id"]: r["text"] for r in secret_scan.redact(df, samples=samples).collect()}
+    assert max(r["n"] for r in df.select(F.size(secret_scan.pieces(F.col("text"))).alias("n")).collect()) > 5
+    for i, t in enumerate(texts):
+        assert whole[i]["base_sha256"] == hashlib.sha256(joined(brute(t)).encode()).hexdigest()
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    text = " ".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(60_000))  # 2.5 MB
+    began = time.perf_counter()
+    row = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_hex"] == 60_000 and time.perf_counter() - began < 60
+
+
+def test_words_of_the_table(spark, documents):
+    words = secret_scan.corpus_words(documents)
+    assert 100 < len(words) <= secret_scan.CORPUS_WORDS and words == secret_scan.corpus_words(documents.repartition(5))
+    assert secret_scan.corpus_words(documents.where("false")) == [] and secret_scan.scan_secrets(documents.where("false")).count() == 0
+    joined_up = spark.createDataFrame([(i, f"see {words[i]}_{words[i + 1]}_{words[i + 2]}_{words[i + 3]} here") for i in range(0, 80)], "doc_id long, text string")
+    assert secret_scan.scan_secrets(joined_up, samples=secret_scan.labelled_samples(spark, words=words)).where("n_random > 0").count() <= 2
 
 
 def test_rules_twin(spark, sf, documents):
@@ -103,7 +139,11 @@ def test_rules_on_odd_rows(odd):
 
 
 def test_order_does_not_change_verdicts(documents):
-    order = [m.rule.name for m in quality_rules.measure(documents.select("text"), 50)]
+    measured = quality_rules.measure(documents.select("text"), 50)
+    order = [m.rule.name for m in measured]
+    assert order == [m.rule.name for m in quality_rules.measure(documents.select("text"), 50)]
+    by_cost = sorted(measured, key=lambda m: m.cost)
+    assert by_cost[0].rule.name == "few_words" and by_cost[-1].rule.name == "repeated_text"
     assert sorted(order) == sorted(r.name for r in quality_rules.default_rules(F.col("w"), F.col("t")))
     some = quality_rules.filter_quality(documents, rows=5).count()
     assert some == quality_rules.filter_quality(documents, rows=200).count() == quality_rules.quality_report(documents).where("kept").count()
