@@ -10,12 +10,13 @@ by exact size rather than on documents:
    budget, which comes as near to it as any subset of the documents left can.
 
 Then each (source, size) class takes its number of documents by a seeded hash of the key. Classes are
-split into bins of about BIN documents by that hash, so no class is ranked in one task.
+split into bins of about BIN documents by that hash, so no class is ranked in one task, and equal rows are counted
+before they are ranked, so no key or text, however common, meets in one place.
 
 Only counts leave the document rows: one row for each source and size, where a source's sizes number
 no more than its longest document's words. Null texts have size zero; a null source is a source of its
 own, ordered last. Repeated rows are separate documents. Reruns agree: all choices follow from the
-seed, the key and the size. Rows with a null key share a hash and so a bin.
+seed, the key, the size and, in ``mixed``, the other columns of rows that share a key or have none.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.common import word_count, written
+from opinara.llm.common import free, word_count, written
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -61,12 +62,13 @@ def knapsack(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list[i
     """How many of each size to take so that their sum comes nearest to ``budget`` (the lesser sum on ties).
 
     Counts are split into powers of two; for every sum the first item that reaches it is kept, from
-    which the choice is read back. Sums are followed up to one largest size beyond the budget.
+    which the choice is read back. Sums are followed up to one largest size beyond the budget, and to twice the
+    budget at most, as taking nothing is nearer than any larger sum.
     """
     taken = [0] * len(sizes)
-    top = budget + max(sizes, default=0)
+    top = min(budget + max(sizes, default=0), 2 * budget)
     full = (1 << (top + 1)) - 1
-    reach, first = 1, np.full(top + 1, -1, np.int64)
+    reach, first = 1, np.full(top + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
     for k, (size, count) in enumerate(zip(sizes, counts)):
         left, piece = min(count, top // size if size else 0), 1
@@ -123,29 +125,36 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(other, match).drop(*[f"__{n}" for n in on])
 
 
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
-    """Per row of ``df``: key, ``source``, ``size``, ``source_size``, ``target`` and ``copies``."""
-    docs = written(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix-sizes")
-    counts = written(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
-    aims = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
+def _plan(df: DataFrame, key: str, source: str, text: str, seed: int, mark: Column | None) -> DataFrame:
+    """Equal rows as one: key, ``source``, ``size``, ``source_size``, ``target``, ``mark``, their number ``n``, the
+    copies that each gets (``whole``) and how many of them get one more (``more``)."""
+    docs = df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), (F.lit(0).cast("long") if mark is None else mark).alias("mark"))
+    groups = written(docs.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("n")), "mix-rows")
+    counts = written(groups.groupBy("source", "size").agg(F.sum("n").alias("of_size")), "mix-counts")
+    aims = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("of_size")).alias("source_size")))
 
     def fitted(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("size")
-        whole, extra = fit(part["size"].to_numpy(np.int64), part["n"].to_numpy(np.int64), float(part["target"].iloc[0]), seed)
+        whole, extra = fit(part["size"].to_numpy(np.int64), part["of_size"].to_numpy(np.int64), float(part["target"].iloc[0]), seed)
         return part.assign(whole=whole, extra=extra)
 
     kind = dict(docs.dtypes)["source"]
-    planned = _join(counts, aims, ["source"]).groupBy("source").applyInPandas(fitted, f"source {kind}, size long, n long, source_size long, target double, whole int, extra long")
-    plan = written(planned.select("source", "size", "n", "source_size", "target", "whole", "extra"), "mix-plan")
+    planned = _join(counts, aims, ["source"]).groupBy("source").applyInPandas(fitted, f"source {kind}, size long, of_size long, source_size long, target double, whole int, extra long")
+    plan = written(planned.select("source", "size", "of_size", "source_size", "target", "whole", "extra"), "mix-plan")
+
+    dealt = _join(groups, plan, ["source", "size"]).withColumn("lot", F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "mark")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))).withColumn("bin", F.pmod("lot", 1 + F.floor(F.col("of_size") / BIN)))
+    binned = dealt.groupBy("source", "size", "bin", "extra").agg(F.sum("n").alias("here"))
+    earlier = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    quota = binned.withColumn("quota", F.col("extra") - F.coalesce(F.sum("here").over(earlier), F.lit(0))).select("source", "size", "bin", "quota")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size", "bin").orderBy("lot", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - before))
+    return _join(dealt, quota, ["source", "size", "bin"]).select("doc_id", "source", "size", "source_size", "target", "mark", "n", "whole", more.alias("more"))
+
 
-    lot = F.xxhash64(F.lit(seed), "doc_id")
-    dealt = _join(docs, plan, ["source", "size"]).withColumn("lot", lot).withColumn("bin", F.pmod("lot", 1 + F.floor(F.col("n") / BIN)))
-    binned = dealt.groupBy("source", "size", "bin", "extra").agg(F.count("*").alias("here"))
-    before = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    quota = binned.withColumn("quota", F.col("extra") - F.coalesce(F.sum("here").over(before), F.lit(0))).select("source", "size", "bin", "quota")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bin").orderBy("lot", "doc_id"))
-    ranked = _join(dealt, quota, ["source", "size", "bin"]).withColumn("copies", F.col("whole") + (rank <= F.col("quota")).cast("int"))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", "copies")
+def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
+    """Per row of ``df``: key, ``source``, ``size``, ``source_size``, ``target`` and ``copies``."""
+    told = _plan(df, key, source, text, seed, None).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return told.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("nth") <= F.col("more")).cast("int")).alias("copies"))
 
 
 def mix_report(df: DataFrame) -> DataFrame:
@@ -154,13 +163,17 @@ def mix_report(df: DataFrame) -> DataFrame:
 
 
 def mixed(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it, with its own columns."""
-    columns = df.columns
-    nth = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
-    chosen = mix(df, key, source, text, seed).where("copies > 0").select(F.col("doc_id").alias("__k"), F.col("source").alias("__s"), F.col("size").alias("__n"), "copies")
-    lots = chosen.groupBy("__k", "__s", "__n").agg(F.sort_array(F.collect_list("copies"), False).alias("__copies"))
-    by = ["__k0", "__s0", "__n0"]
-    whole = df.select("*", F.col(key).alias("__k0"), F.col(source).alias("__s0"), word_count(F.col(text)).alias("__n0")).withColumn("__nth", nth(by))
-    match = F.col("__k0").eqNullSafe(F.col("__k")) & F.col("__s0").eqNullSafe(F.col("__s")) & F.col("__n0").eqNullSafe(F.col("__n"))
-    times = F.get("__copies", F.col("__nth") - 1)
-    return whole.join(lots, match).where(times.isNotNull()).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    """The rows of ``df``, each as often as the mix takes it, with its own columns.
+
+    Rows are told apart by a hash of all their columns, so rows that share a key, source and size keep apart, and
+    texts move once, to meet their number of copies.
+    """
+    columns, mark = [f"`{c}`" for c in df.columns], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    own, n, times = free(df, "__mark"), free(df, "__n"), free(df, "__copies")
+    plan = _plan(df, key, source, text, seed, mark).groupBy(F.col("mark").alias(own)).agg(F.sum("n").alias(n), F.sum(F.col("n") * F.col("whole") + F.col("more")).alias(times))
+    plan = written(plan.where(F.col(times) > 0), "mix-copies")
+    marked = df.withColumn(own, mark)
+    each = marked.join(plan, own).withColumn(times, F.floor(F.col(times) / F.col(n)))
+    rest = marked.join(plan.where(F.col(times) % F.col(n) > 0), own).dropDuplicates([own]).withColumn(times, F.col(times) % F.col(n))
+    copies = lambda rows: rows.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*columns)
+    return copies(each).unionAll(copies(rest))
