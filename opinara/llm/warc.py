@@ -12,6 +12,9 @@ its range and reads past the end of the range to finish the last. After a record
 its end. (A payload that itself is a gzipped archive, kept uncompressed in a member, could be taken for
 records by a range that starts inside it.)
 
+Files are read through pyarrow's file systems, range by range. A store that only Spark's readers open is read by
+them, a file in a task, which the writer's bound on files suits.
+
 Payloads of MIN_REVISIT bytes or more that are equal (by SHA-1) are kept once: the record with the
 largest key is the response, the others are revisits that refer to it. Equal keys with equal payloads
 are responses each. Null payloads are empty; a null key makes a revisit if any key is there for its
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import math
 import re
 import uuid
@@ -33,11 +37,11 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm.common import scratch_path
+from opinara.llm.common import drop_written, scratch_path, written
 
 MIN_REVISIT = 1000
 SPLIT_BYTES = 8 << 20
-#: Input bytes, by the plan's estimate, for each archive file.
+#: Payload bytes for each archive file.
 FILE_BYTES = 16 << 20
 #: Compression level of the records.
 LEVEL = 4
@@ -74,10 +78,18 @@ def member(key: int | None, uri: str | None, payload: bytes, digest: str, refers
 
 
 def write_archives(df: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html") -> None:
-    """Write a record for every row of ``df`` below ``path``."""
+    """Write a record for every row of ``df`` below ``path``.
+
+    Which rows are revisits is found on keys and digests alone; payloads move once, dealt by digest and key over as
+    many files as their bytes ask for, so pages that share a payload spread, and a file's task reads FILE_BYTES.
+    """
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(uri).alias("uri"), F.coalesce(F.col(payload), F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
-    equal = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy(F.col("digest").alias("same")).agg(F.max("key").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    told = rows.join(equal.select("same", "refers_to"), F.col("digest") == F.col("same"), "left")
+    rows = rows.withColumn("place", F.xxhash64("digest", "key"))
+    told = written(rows.select("key", "digest", "place", F.octet_length("payload").cast("long").alias("bytes")), "warc-digests")
+    files = min(max(1, math.ceil((told.agg(F.sum("bytes")).first()[0] or 0) / FILE_BYTES)), 1 << 20)
+    equal = told.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.max("key").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
+    referring = written(told.join(equal, "digest").select("digest", "place", "refers_to").distinct(), "warc-equal")
+    dealt = rows.repartition(files, "digest", "place").join(referring.hint("shuffle_hash"), ["digest", "place"], "left")
     revisit = F.coalesce(F.col("refers_to").isNotNull() & ~F.col("key").eqNullSafe(F.col("refers_to")), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,17 +104,17 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", uri: str = "u
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
-    members = told.select("key", "uri", F.col("payload").cast("binary"), "digest", "refers_to", revisit.alias("revisit")).mapInArrow(run, "member binary")
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # enormous where unknown
-    files = min(max(1, math.ceil(estimate / FILE_BYTES)), 1 << 20)
-    members.select(F.col("member").cast("string").alias("value")).coalesce(files).write.option("lineSep", "\x00").text(path)
+    members = dealt.select("key", "uri", F.col("payload").cast("binary"), "digest", "refers_to", revisit.alias("revisit")).mapInArrow(run, "member binary")
+    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
+    drop_written(told)
+    drop_written(referring)
 
 
 class _Range:
     """A file from a byte on, read in pieces as they are needed."""
 
     def __init__(self, file, start: int, size: int):
-        self.file, self.size, self.low, self.data = file, size, start, b""
+        self.file, self.size, self.low, self.data = file, size, start, bytearray()
         file.seek(start)
 
     def more(self) -> bool:
@@ -111,7 +123,8 @@ class _Range:
         return bool(got)
 
     def drop(self, upto: int) -> None:
-        self.data, self.low = self.data[upto - self.low :], upto
+        del self.data[: upto - self.low]
+        self.low = upto
 
 
 def _parsed(head: bytes) -> dict[str, str] | None:
@@ -121,33 +134,37 @@ def _parsed(head: bytes) -> dict[str, str] | None:
     end = head.find(b"\r\n\r\n")
     if end < 0:
         return None
-    fields = (line.partition(b":") for line in head[:end].split(b"\r\n")[1:])
+    fields = (line.partition(b":") for line in bytes(head[:end]).split(b"\r\n")[1:])
     found = {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in fields}
     return found if "warc-type" in found and found.get("content-length", "").isdigit() else None
 
 
 def _inflate(span: _Range, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """Header, block and end of the member at ``at``; None if it is none. Only the header's part is inflated before it is judged."""
-    unpack, out, used = zlib.decompressobj(31), b"", at - span.low
-    fields = None
+    unpack, out, used = zlib.decompressobj(31), bytearray(), at - span.low
+    fields, looked = None, 0
     while not unpack.eof:
         if used >= len(span.data) and not span.more():
             return None
-        feed = span.data[used : used + _HEAD]
+        feed = bytes(span.data[used : used + _HEAD])
         try:
             out += unpack.decompress(feed)
         except zlib.error:
             return None
         used += len(feed)
         if fields is None:
-            fields = _parsed(out)
-            if fields is None and (b"\r\n\r\n" in out or not b"WARC/1.".startswith(out[:7])):
+            if not b"WARC/1.".startswith(out[:7]):
+                return None
+            ended = out.find(b"\r\n\r\n", looked) >= 0
+            looked = max(0, len(out) - 3)
+            fields = _parsed(out) if ended else None
+            if ended and fields is None:
                 return None
     if fields is None:
         return None
     start = out.index(b"\r\n\r\n") + 4
     length = int(fields["content-length"])
-    return (fields, out[start : start + length], span.low + used - len(unpack.unused_data)) if len(out) >= start + length else None
+    return (fields, bytes(out[start : start + length]), span.low + used - len(unpack.unused_data)) if len(out) >= start + length else None
 
 
 def records(file, start: int, end: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -174,39 +191,72 @@ def records(file, start: int, end: int, size: int) -> Iterator[tuple[int, dict[s
         span.drop(at)
 
 
+def _rows(name: str, file, start: int, end: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The responses and revisits of a range, in batches of bounded size."""
+    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("key", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+    rows, held = [], 0
+    for offset, fields, block in records(file, start, end, size):
+        if fields["warc-type"] not in ("response", "revisit"):
+            continue
+        payload = block.partition(b"\r\n\r\n")[2]
+        digest = base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex()
+        if fields["warc-type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
+            raise ValueError(f"{name}: the payload at {offset} does not have its digest")
+        number = lambda f: int(fields[f]) if f in fields else None
+        length = number("x-payload-length")
+        rows.append((name, offset, fields["warc-type"], number("x-key"), fields.get("warc-target-uri"), len(payload) if length is None else length, digest, number("x-refers-to-key"), payload))
+        held += len(payload)
+        if held > 8 * _READ:
+            yield made(rows)
+            rows, held = [], 0
+    if rows:
+        yield made(rows)
+
+
+#: Schemes under which pyarrow knows a store by another name.
+_ALSO = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gs": "gs"}
+
+
+def _opened(name: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    scheme, mark, rest = name.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"{_ALSO.get(scheme, scheme)}{mark}{rest}")
+
+
+def _known(name: str) -> bool:
+    try:
+        _opened(name)
+    except Exception:  # an unknown scheme, or one that this build of pyarrow lacks
+        return False
+    return True
+
+
 def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """One row for each response or revisit below ``path``; a response's payload is checked against its digest."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
+    first = files.select("path").first()
+    if first and not _known(first["path"]):
+        return spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInArrow(whole_files, _SCHEMA)
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length"), F.lit(split_bytes).cast("long"))).alias("start")).where("start < length")
     total = files.agg(F.sum("length")).first()[0] or 0  # small files share a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("key", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for name, length, start in zip(*(c.to_pylist() for c in batch.columns)):
-                system, inner = pyarrow.fs.FileSystem.from_uri(name)
-                rows, held = [], 0
+                system, inner = _opened(name)
                 with system.open_input_file(inner) as file:
-                    for offset, fields, block in records(file, start, min(start + split_bytes, length), length):
-                        if fields["warc-type"] not in ("response", "revisit"):
-                            continue
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        digest = base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex()
-                        if fields["warc-type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                            raise ValueError(f"{name}: the payload at {offset} does not have its digest")
-                        number = lambda f: int(fields[f]) if f in fields else None
-                        size = number("x-payload-length")
-                        rows.append((name, offset, fields["warc-type"], number("x-key"), fields.get("warc-target-uri"), len(payload) if size is None else size, digest, number("x-refers-to-key"), payload))
-                        held += len(payload)
-                        if held > 8 * _READ:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-                            rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    yield from _rows(name, file, start, min(start + split_bytes, length), length)
 
     return ranges.select("path", "length", "start").repartition(max(1, min(math.ceil(total / split_bytes), 10_000))).mapInArrow(run, _SCHEMA)
 
 
+def whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of files that come with their content."""
+    for batch in batches:
+        for name, length, content in zip(*batch.columns):
+            yield from _rows(name.as_py(), io.BytesIO(content.as_py()), 0, length.as_py(), length.as_py())
+
+
 def archive_round_trip(df: DataFrame) -> DataFrame:
     """Write the pages, read the archives back, and return what the records say of each page."""
     path = scratch_path(df.sparkSession, "warc")
