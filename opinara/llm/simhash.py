@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import drop_written, written
+from opinara.llm.common import drop_written, free, written
 from opinara.llm.components import components
 from opinara.llm.near_copies import SIMILARITY, distinct_texts, near_links, sketch
 
@@ -49,6 +49,8 @@ NEAR_SHINGLE = 5
 RADIUS = 2
 SEGMENTS = 8
 PIVOTS = 24
+#: Bytes of sketches that are handed on together.
+MARK_BYTES = 8 << 20
 #: Shingles hashed before their bits are added up.
 CHUNK = 1 << 16
 
@@ -103,15 +105,17 @@ def with_marks(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                ids, texts = (c.slice(low, 256) for c in batch.columns)
-                fps, marks = [], []
-                for t in texts:
-                    hashes = list(shingle_hashes(t.as_py(), shingle))
-                    fps.append(majority(hashes))
-                    marks.append(sketch(np.concatenate(hashes) if hashes else np.empty(0, np.uint64)))
-                n, sketches, bands = zip(*marks)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(fps, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "sketch", "bands"])
+            low, held, fps, marks = 0, 0, [], []
+            for at, t in enumerate(batch.column(1), 1):
+                hashes = list(shingle_hashes(t.as_py(), shingle))
+                fps.append(majority(hashes))
+                marks.append(sketch(np.concatenate(hashes) if hashes else np.empty(0, np.uint64)))
+                held += len(marks[-1][1])
+                if at == batch.num_rows or at - low == 256 or held > MARK_BYTES:
+                    n, sketches, bands = zip(*marks)
+                    ids = batch.column(0).slice(low, at - low)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(fps, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "sketch", "bands"])
+                    low, held, fps, marks = at, 0, [], []
 
     kind = dict(df.dtypes)[key]
     return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long, n long, sketch binary, bands array<long>")
@@ -178,7 +182,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     if radius != RADIUS:
         raise ValueError("files are made for RADIUS")
-    filed = fingerprints.select("fp").distinct().select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks()])).alias("choice", "key"))
+    tasks = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = fingerprints.select("fp").distinct().repartition(tasks).select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks()])).alias("choice", "key"))
     files = filed.groupBy("choice", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return files.select("fps").mapInArrow(run, "a long, b long")
 
@@ -196,8 +201,10 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         texts = distinct_texts(sketched)
         marked = written(sketched.select("doc_id", "fp"), "simhash")
         drop_written(sketched)
-        joined = components(links(marked).unionAll(near_links(texts, similarity)), "a", "b")
+        near = near_links(texts, links(marked), similarity)
+        joined = components(near, "a", "b")
         drop_written(texts)
+        drop_written(near)
     names = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     linked = written(joined.withColumnRenamed("node", "fp").join(names, "fp"), "simhash-linked")
     least = linked.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -221,8 +228,9 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     share an id but are no near-duplicates all stay. Ties go to the least hash of the text, then of the row.
     """
     marks = {"none": F.col(key).isNull(), "id": F.col(key), "digest": F.xxhash64(F.col(text)), "mark": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])}
-    rows = df.withColumn("__row", F.struct(*[c.alias(k) for k, c in marks.items()]))
-    found = classes(rows, "__row", text, shingle, similarity)
-    names = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*[F.col(f"component_id.{k}").alias(f"__{k}") for k in marks]).distinct()
-    same = [F.col(f"__row.{k}").eqNullSafe(F.col(f"__{k}")) for k in marks]
-    return rows.join(names, same, "left_semi").dropDuplicates(["__row"]).drop("__row")
+    own = free(df, "__row")
+    rows = df.withColumn(own, F.struct(*[c.alias(k) for k, c in marks.items()]))
+    found = classes(rows, own, text, shingle, similarity)
+    names = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*[F.col(f"component_id.{k}").alias(free(rows, f"__{k}")) for k in marks]).distinct()
+    same = [F.col(f"{own}.{k}").eqNullSafe(F.col(free(rows, f"__{k}"))) for k in marks]
+    return rows.join(names, same, "left_semi").dropDuplicates([own]).drop(own)

@@ -90,11 +90,49 @@ def test_sketch_similarity(size):
     both, one, two = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (size * 8 // 10, size // 10, size // 10))
     marks = [near_copies.sketch(np.concatenate([both, rest])) for rest in (one, two)]
     assert [m[0] for m in marks] == [len(both) + len(one)] * 2
-    parts = [np.frombuffer(m[1], np.uint32).astype(np.uint64) for m in marks]
+    parts = [near_copies.least(*m[:2]) for m in marks]
     whole = size <= near_copies.SKETCH
     near, exact = near_copies.similarities(parts[0], whole, parts[1][None], np.array([len(parts[1])]), np.array([whole]))
     assert exact[0] == whole and near[0] == pytest.approx(0.8, abs=1e-9 if whole else 0.04)
-    assert near_copies.near_forest([m[0] for m in marks], [m[1] for m in marks]) == [(0, 1)] or not whole
+    assert near_copies.whole_similarity(*(m[:2] for m in marks)) == pytest.approx(0.8, abs=1e-12)
+    assert near_copies.near_forest([m[0] for m in marks], [m[1] for m in marks]) == [(0, 1)]
+
+
+def test_long_texts_link_at_the_bound_and_not_below():
+    from opinara.llm import near_copies
+
+    rng = np.random.default_rng(1)
+    for extra, links in ((0, 1), (1, 0)):  # 8000 of 10000 hashes shared, then of 10001
+        both, one, two = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (8000, 1000, 1000 + extra))
+        marks = [near_copies.sketch(np.concatenate([both, rest])) for rest in (one, two)]
+        assert len(near_copies.near_forest([m[0] for m in marks], [m[1] for m in marks])) == links
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_miss_no_link(spark, monkeypatch, seed):
+    """Sets that all share every key: links over blocks are those of comparing all pairs."""
+    from opinara.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rng = np.random.default_rng(seed)
+    sets = [np.arange(100, dtype=np.uint64) * np.uint64(2**33)]
+    for _ in range(59):
+        s = sets[rng.integers(len(sets)) if rng.random() < 0.8 else 0].copy()
+        at = rng.choice(100, rng.integers(1, 25), replace=False)
+        s[at] = rng.integers(0, 2**64, len(at), dtype=np.uint64)
+        sets.append(s)
+    rows = [(k, *near_copies.sketch(s)[:2], [1, 2]) for k, s in enumerate(sets)]
+    texts = spark.createDataFrame(rows, "fp long, n long, sketch binary, bands array<long>")
+    found = near_copies.near_links(texts, spark.createDataFrame([], "a long, b long"))
+    ours = {r["node"]: r["component"] for r in components(found, "a", "b").collect()}
+    label = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if len(a & b) >= 0.8 * len(a | b):
+                label = [label[i] if x == label[j] else x for x in label]
+    assert len({ours.get(i, i) for i in range(60)}) == len(set(label))
+    assert all((ours.get(i, i) == ours.get(j, j)) == (label[i] == label[j]) for i in range(60) for j in range(i))
 
 
 def test_odd_rows(odd):
@@ -105,7 +143,8 @@ def test_odd_rows(odd):
         by.setdefault(r["doc_id"], []).append((r["fingerprint"], r["component_id"]))
     assert by[1] == [("0" * 16, 1)] and by[2] == by[3] == by[1]
     assert len(by[5]) == 2 and by[5][0][1] == by[6][0][1] == 5 and {c for _, c in by[None]} == {1, 5}
-    assert set(simhash.deduplicate(odd).columns) == set(odd.columns)
+    clashing = odd.withColumn("__row", F.lit("clash")).withColumn("__mark", F.lit("clash"))
+    assert simhash.deduplicate(clashing).columns == clashing.columns
 
 
 def test_empty(odd):

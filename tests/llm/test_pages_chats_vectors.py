@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import gzip
 import io
+import math
 import re
+import zlib
 from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from opinara.llm import chat_format, cross_polytope, html_text, quality_model, registry, warc
@@ -174,6 +177,23 @@ def test_false_magic_is_passed_over():
         assert parts == ["1", "2"]
 
 
+def test_unknown_stores_are_read_by_spark(spark, pages, tmp_path, monkeypatch):
+    warc.write_archives(pages, str(tmp_path / "w"))
+    want = sorted(map(str, warc.read_archives(spark, str(tmp_path / "w")).drop("path").collect()))
+    monkeypatch.setattr(warc, "_known", lambda name: False)
+    assert sorted(map(str, warc.read_archives(spark, str(tmp_path / "w")).drop("path").collect())) == want
+    monkeypatch.undo()
+    assert not warc._known("viewfs://store/x") and warc._known("file:///x")
+
+
+def test_files_follow_the_payload_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    rows = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("same "), 1000)).otherwise(F.repeat(F.concat(F.lit("p"), "id"), 1000)).alias("html"))
+    warc.write_archives(rows.coalesce(1), str(tmp_path / "w"))
+    sizes = [r["n"] for r in warc.read_archives(spark, str(tmp_path / "w")).groupBy("path").agg(F.sum("payload_bytes").alias("n")).collect()]
+    assert len(sizes) > 10 and max(sizes) < 8 * 100_000
+
+
 def test_long_urls_are_read_back():
     url = "data:" + np.random.default_rng(0).bytes(200_000).hex()
     data = warc.member(1, url, b"one", "a" * 40, None, False) + warc.member(2, "u", b"two", "b" * 40, None, False)
@@ -221,6 +241,18 @@ def test_layout(html, want):
     assert html_text.to_text(html) == want
 
 
+def test_deep_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    tracemalloc.start()
+    for tag in ("blockquote", "dd", "ul><li"):
+        text = html_text.to_text(f"<{tag}>" * 100_000 + "deep")
+        assert text.strip(" *") == "deep" and len(text) <= html_text.DEEPEST + 6
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert html_text.to_text("<dl><dd>a<blockquote>b<ul><li>c") == "    a\n\n        b\n\n        * c"
+
+
 def test_odd_html(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, "", "y"), (None, "<p>a", "z"), (2, "<p>" + "word " * 100_000, "w")], "page_id long, html string, text string")
     rows = {(r["page_id"], r["text"] if r["text"] is None else len(r["text"])) for r in html_text.extract(df).collect()}
@@ -231,7 +263,34 @@ def test_odd_html(spark):
 def test_roles_are_recovered(spark, sf):
     rows = registry.op4_chat_format(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
-    assert sum(r["recovered"] for r in rows) / len(rows) > 0.7
+    assert sum(r["recovered"] for r in rows) / len(rows) > 0.7 and sum(r["lines_right"] for r in rows) / len(rows) > 0.9
+    said = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn", "text").collect():
+        said.setdefault(r["conv_id"], []).append((r["role"], (r["text"] or "").strip()))
+    for r in rows:  # where roles are right, the rendering holds every turn as it was said
+        if r["recovered"]:
+            back = re.findall(r"<\|im_start\|>(\w+)\n(.*?)<\|im_end\|>\n", r["chat"], re.S)
+            assert [(a, " ".join(b.split())) for a, b in back] == [(a if a in chat_format.ROLES else "user", " ".join(b.split())) for a, b in said[r["conv_id"]]]
+
+
+def test_unseen_markers_score_per_line(spark, sf, monkeypatch):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet".replace("0.001", "0.1")).where("conv_id < 400")
+    model = chat_format.train(chat_format.transcripts(turns.where("conv_id % 2 = 0")))
+    monkeypatch.setattr(chat_format, "STYLES", (("Zork: ", "Quux: ", "Blip: "), ("<hub> ", "<rover> ", "<tower> ")))
+    fresh = chat_format.parse_transcripts(chat_format.transcripts(turns.where("conv_id % 2 = 1")), model)
+    right = total = 0
+    for r in fresh.select("path", "states").collect():
+        right += sum(a // 2 == b // 2 for a, b in zip(r["path"], r["states"]))
+        total += len(r["states"])
+    print(right / total)
+    assert right / total > 0.85
+
+
+def test_a_long_conversation_is_one(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn number {k}{'?' if k % 2 == 0 else ''}") for k in range(600)] + [(2, 0, "user", f"same {k}") for k in range(600)]
+    out = {r["conv_id"]: r for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()}
+    assert set(out) == {1, 2} and out[1]["chat"].count("turn number") == 600 and out[2]["chat"].count("same") == 600
+    assert [int(n) for n in re.findall(r"turn number (\d+)", out[1]["chat"])] == list(range(600))
 
 
 @pytest.fixture(scope="module")
@@ -262,7 +321,7 @@ def test_odd_turns(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, None, None), (None, None, "user", "x"), (2, 0, "other", ""), (3, 300, "assistant", "late"), (3, 0, "user", "early")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, roles string")
     out = chat_format.format_conversations(df).collect()
-    assert sorted((str(r["conv_id"]), str(r["part"])) for r in out) == [("1", "0"), ("2", "0"), ("3", "0"), ("3", "1"), ("None", "None")]
+    assert sorted(str(r["conv_id"]) for r in out) == ["1", "2", "3", "None"]
     assert chat_format.format_conversations(df.where("false")).count() == 0
 
 
@@ -281,6 +340,26 @@ def test_quality_odd_rows(spark, odd):
     assert {round(r["score"], 6) for r in quality_model.classify(odd, labels.where("false")).collect()} == {0.5}
 
 
+def test_scores_against_plain_python(spark, sf):
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality_model.train(documents, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r for r in quality_model.score(documents, model).collect()}
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    table, sizes = model.table.astype(float).tolist(), range(model.table.shape[1])
+    for i in sorted(texts)[::20]:
+        rows, before = [], None
+        for token in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n+", texts[i] or ""):
+            shape = "mark" if not token[0].isalpha() else "lower" if token.islower() else "upper" if token.isupper() else "title" if token.istitle() else "mixed"
+            bucket = xxhash.xxh32_intdigest(token.lower() if token[0].isalpha() else token[:3]) % quality_model.BUCKETS
+            rows += [bucket, quality_model.BUCKETS + quality_model.SHAPES.index("again" if bucket == before else shape)]
+            before = bucket
+        pool = [sum(table[r][k] for r in rows) / max(len(rows) // 2, 1) for k in sizes]
+        hidden = [math.tanh(sum((pool[k] - model.centre[k]) / model.scale[k] * model.w1[k][h] for k in sizes) + model.b1[h]) for h in range(quality_model.HIDDEN)]
+        logit = (sum(h * w for h, w in zip(hidden, model.w2)) + model.b2) / model.temperature
+        want = 1 / (1 + math.exp(-max(-50.0, min(50.0, logit))))
+        assert got[i]["score"] == pytest.approx(want, abs=2e-4) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_temperature_scales():
     rng = np.random.default_rng(0)
     logits = rng.normal(0, 1, 4000)
