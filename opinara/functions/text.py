@@ -7,7 +7,7 @@ in ``valence``, as an Arrow function.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,10 +22,27 @@ def quoted(word: str) -> str:
     return _JAVA_SPECIAL.sub(r"\\\1", word)
 
 
-def whole_words(words: list[str], literal: bool = True) -> str:
+def any_of(words: Iterable[str]) -> str:
+    """A pattern for any of ``words``, the longest that fits: common beginnings are tried once."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for sign in word:
+            at = at.setdefault(sign, {})
+        at[""] = {}
+
+    def told(at: dict) -> str:
+        parts = [quoted(sign) + told(rest) for sign, rest in at.items() if sign]
+        if not parts:
+            return ""
+        return parts[0] if len(parts) == 1 and "" not in at else f"(?:{'|'.join(parts)}){'?' if '' in at else ''}"
+
+    return told(tree)
+
+
+def whole_words(words: Iterable[str], literal: bool = True) -> str:
     """A pattern for any of ``words`` as whole words, longest first."""
-    parts = sorted(map(quoted, words), key=len, reverse=True) if literal else words
-    return f"(?iu)(?<!{_WORD})(?:{'|'.join(parts)})(?!{_WORD})"
+    return f"(?iu)(?<!{_WORD})(?:{any_of(words) if literal else '|'.join(words)})(?!{_WORD})"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,10 +62,14 @@ def rewritten(text: Column) -> Column:
 
 
 def lexicon_score(text: Column, valence: dict[str, float] | None = None) -> Column:
-    """Sum of the words' valences, brought to -1..1 by x / sqrt(x^2 + 15), to 4 places."""
-    table = F.create_map(*[F.lit(x) for pair in (valence or L.VALENCE).items() for x in pair])
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z\\u0900-\\u097F]+"), F.lit(0))
-    found = F.filter(F.transform(words, lambda w: F.element_at(table, w)), lambda v: v.isNotNull())
+    """Sum of the words' valences, brought to -1..1 by x / sqrt(x^2 + 15), to 4 places.
+
+    Words are runs of a-z and Devanagari signs; only those that have a valence are looked up.
+    """
+    known = valence or L.VALENCE
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z\\u0900-\\u097F]){any_of(known)}(?![a-z\\u0900-\\u097F])"), F.lit(0))
+    found = F.transform(words, lambda w: F.element_at(table, w))
     total = F.aggregate(found, F.lit(0.0), lambda s, v: s + v)
     return let(total, lambda s: F.floor(s / F.sqrt(s * s + 15) * 10000 + 0.5) / 10000)
 
@@ -60,16 +81,9 @@ def sentiment_label(score: Column) -> Column:
 def language(text: Column) -> Column:
     """Hindi by script; Hinglish by marker words, counted with repeats; else English."""
     script, letters = F.regexp_count(text, F.lit("[\\u0900-\\u097F]")), F.regexp_count(text, F.lit("\\p{L}"))
-    markers, weak = F.array(*map(F.lit, L.HINGLISH_MARKERS)), F.array(*map(F.lit, L.WEAK_MARKERS))
-
-    def by_words(words: Column) -> Column:
-        return let(F.filter(words, lambda w: F.array_contains(markers, w)), lambda found: judged(words, found))
-
-    def judged(words: Column, found: Column) -> Column:
-        strong = F.size(F.filter(found, lambda w: ~F.array_contains(weak, w)))
-        return F.when((strong >= 2) | ((strong >= 1) & ((F.size(found) >= 2) | (F.size(words) <= 5))), "Hinglish").otherwise("English")
-
-    romanised = let(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), by_words)
+    low, only = F.lower(text), lambda words: F.lit(f"(?<![a-z]){any_of(words)}(?![a-z])")
+    strong = F.regexp_count(low, only([w for w in L.HINGLISH_MARKERS if w not in L.WEAK_MARKERS]))
+    romanised = F.when((strong >= 2) | ((strong >= 1) & ((F.regexp_count(low, only(L.HINGLISH_MARKERS)) >= 2) | (F.regexp_count(low, F.lit("[a-z]+")) <= 5))), "Hinglish").otherwise("English")
     return F.when((letters > 0) & (script > 0.3 * letters), "Hindi").otherwise(romanised)
 
 
@@ -88,10 +102,37 @@ def themes_of(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(has_theme(t, text), F.lit(t)) for t in L.THEMES]))
 
 
-def polarity(theme: str, clause: Column, score: Column, rating: Column) -> Column:
-    """Complaint words are sought in the whole clause, excluded phrases too."""
+def theme_bits() -> dict[str, int]:
+    """What each theme word or excluded phrase says: bit k for a word of theme k, bit 16 + k for a complaint of it.
+
+    A phrase says what the words within it say, except to the themes that exclude it.
+    """
+    specs = list(L.THEMES.values())
+    said = {w.lower(): 0 for spec in specs for part in spec.values() for w in part}
+    within = lambda word, phrase: f" {word} " in f" {phrase} "
+    for phrase in said:
+        for k, spec in enumerate(specs):
+            complaint = any(within(w.lower(), phrase) for w in spec["complaint"])
+            left = re.sub("|".join(rf"(?<!\S){re.escape(x.lower())}(?!\S)" for x in spec["exclude"]), " ", phrase) if "exclude" in spec else phrase
+            if any(within(w.lower(), left) for w in spec["keywords"] + spec["complaint"]):
+                said[phrase] |= 1 << k
+            if complaint:
+                said[phrase] |= 1 << 16 + k
+    return said
+
+
+def theme_mask(text: Column) -> Column:
+    """The bits of ``theme_bits`` that a text's words say together, in one pass over it."""
+    bits = theme_bits()
+    table = F.create_map(*[F.lit(x) for pair in bits.items() for x in pair])
+    words = F.regexp_extract_all(text, F.lit(whole_words(bits)), F.lit(0))
+    return F.aggregate(words, F.lit(0), lambda mask, w: mask.bitwiseOR(F.coalesce(F.element_at(table, F.lower(w)), F.lit(0))))
+
+
+def polarity(complains: Column, score: Column, rating: Column) -> Column:
+    """``complains``: whether complaint words are anywhere in the clause, excluded phrases too."""
     return (
-        F.when(clause.rlike(whole_words(L.THEMES[theme]["complaint"])), "complaint")
+        F.when(complains, "complaint")
         .when(score <= -0.05, "complaint")
         .when(score >= 0.05, "praise")
         .when(rating <= 2, "complaint")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as L
+from opinara.operators.similarity import weighted
 
 LINE, LONG_LINE, CHUNK, NEWEST = 1000, 8000, 40_000, 1500
 
@@ -60,11 +62,10 @@ def relevance(reviews: DataFrame, question: str, mentions: DataFrame) -> DataFra
     Equal texts are weighed once. The question counts as a document and its vector is joined by term.
     """
     spark = reviews.sparkSession
-    texts = reviews.groupBy("review_text").agg(F.count("*").alias("n"))
     asked = spark.createDataFrame([(question, 1)], "review_text string, n long")
-    every = texts.unionAll(asked).select(F.sha1("review_text").alias("id"), "review_text", "n")
-    key = spark.createDataFrame([(question,)], "q string").select(F.sha1("q")).first()[0]
-    vectors = weighed(every)
+    every = reviews.groupBy("review_text").agg(F.count("*").alias("n")).unionAll(asked)
+    vectors = weighted(every.select(F.sha1("review_text").alias("id"), F.lower("review_text").alias("text"), "n"), sublinear=True, pattern="[\\p{L}\\p{N}_]{2,}", stop=True)
+    key = hashlib.sha1(question.encode()).hexdigest()
     query = vectors.where(F.col("id") == key).select("term", F.col("w").alias("wq"))
     score = vectors.where(F.col("id") != key).join(F.broadcast(query), "term").groupBy("id").agg(F.sum(F.col("w") * F.col("wq")).alias("cosine"))
     themes = question_themes(question)
@@ -74,29 +75,23 @@ def relevance(reviews: DataFrame, question: str, mentions: DataFrame) -> DataFra
     return scored.withColumn("relevance", F.floor(total * 10_000 + 0.5) / 10_000).drop("id", "cosine", "__on")
 
 
-def weighed(every: DataFrame) -> DataFrame:
-    """Sublinear postings of distinct texts that stand for ``n`` documents each."""
-    from opinara.operators.similarity import terms
-
-    tf = every.select("id", "n", F.explode(terms(F.lower("review_text"), "[\\p{L}\\p{N}_]{2,}", True)).alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.sum("n").alias("df"))
-    total = every.agg(F.sum("n").alias("total"))
-    rows = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1))
-    norm = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
 def retrieve(reviews: DataFrame, question: str, mentions: DataFrame, limit: int = 60) -> DataFrame:
-    """The most relevant reviews; where they are fewer than ``limit``, extremes of sentiment and the newest fill up."""
+    """The most relevant reviews; where they are fewer than ``limit``, extremes of sentiment and the newest fill up.
+
+    The ranking runs once: the first ``limit`` rows of each order are all that an answer can hold, and the fill is
+    chosen among those few.
+    """
     ranked = relevance(reviews, question, mentions)
-    best = ranked.where("relevance > 0.05").orderBy(F.desc("relevance"), "review_id").limit(limit)
-    have = best.count()
-    if have >= limit:
-        return best
-    rest, each = ranked.join(best.select("review_id"), "review_id", "left_anti"), max((limit - have) // 3, 1)
-    extra = [rest.orderBy(o, "review_id").limit(each) for o in (F.asc("sentiment_score"), F.desc("sentiment_score"), F.desc("review_date"))]
-    more = extra[0].unionAll(extra[1]).unionAll(extra[2]).dropDuplicates(["review_id"])
-    return best.unionAll(more).limit(limit)
+    fit, turn = F.col("relevance") > 0.05, F.col("__turn")
+    # the relevant ones, the most negative, the most positive, the newest
+    ends = ranked.withColumn("__turn", F.explode(F.when(fit, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, (1, 2, 3))))))
+    value = F.when(turn == 0, -F.col("relevance")).when(turn == 1, F.col("sentiment_score")).when(turn == 2, -F.col("sentiment_score")).otherwise(-F.unix_micros("review_date").cast("double"))
+    few = ends.withColumn("__value", value).withColumn("__rank", F.row_number().over(Window.partitionBy("__turn").orderBy("__value", "review_id"))).where(F.col("__rank") <= limit)
+    have = F.count_if(turn == 0).over(Window.partitionBy())
+    each = F.greatest(F.floor((limit - have) / 3), F.lit(1))
+    kept = few.withColumn("__kept", (turn == 0) | ((have < limit) & (F.col("__rank") <= each))).where("__kept")
+    once = kept.withColumn("__nth", F.row_number().over(Window.partitionBy("review_id").orderBy("__turn"))).where("__nth = 1")
+    return once.orderBy("__turn", "__rank").limit(limit).drop("__turn", "__value", "__rank", "__kept", "__nth")
 
 
 def review_line(cap: int = LINE) -> Column:

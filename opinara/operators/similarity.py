@@ -24,14 +24,13 @@ def terms(text: Column, pattern: str, stop: bool) -> Column:
     return F.concat(words, pairs)
 
 
-def postings(docs: DataFrame, sublinear: bool, pattern: str = "[\\p{L}\\p{N}_\\u0900-\\u097F]+", stop: bool = False) -> DataFrame:
-    """``id``, ``term``, ``df``, ``w`` from ``id``, ``text``."""
-    exploded = docs.select("id", F.explode(terms(F.col("text"), pattern, stop)).alias("term"))
-    tf = exploded.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    weight = (1 + F.ln("tf") if sublinear else F.col("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", weight)
+def weighted(texts: DataFrame, sublinear: bool = False, pattern: str = "[\\p{L}\\p{N}_\\u0900-\\u097F]+", stop: bool = False) -> DataFrame:
+    """``id``, ``term``, ``df``, ``w`` from distinct texts: ``id``, ``text`` and the ``n`` documents that have it."""
+    tf = texts.select("id", "n", F.explode(terms(F.col("text"), pattern, stop)).alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.sum("n").alias("df"))
+    total = texts.agg(F.sum("n").alias("total"))
+    weight = (1 + F.ln("tf") if sublinear else F.col("tf")) * (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1)
+    weighed = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("w", weight)
     norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighed.join(norm, "id").select("id", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
 
@@ -59,20 +58,8 @@ def nearest(docs: DataFrame, text: Column, threshold: float = 0.75) -> DataFrame
     members = plain.join(groups, "text").select("id", "rep", "n")
     second = members.where("id <> rep").groupBy("rep").agg(F.min("id").alias("second"))
     copies = members.where("n > 1").join(second, "rep").select("id", F.when(F.col("id") == F.col("rep"), F.col("second")).otherwise(F.col("rep")).alias("partner"), F.lit(1.0).alias("similarity"))
-    counted = weighted_reps(plain, groups)
-    pairs = similar_pairs(counted, threshold)
+    pairs = similar_pairs(weighted(groups.select(F.col("rep").alias("id"), "text", "n")), threshold)
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     best = both.groupBy("a").agg(F.min_by(F.struct("b", "similarity"), F.struct(-F.col("similarity"), "b")).alias("x"))
     near = best.join(members.where("n = 1"), F.col("a") == F.col("id")).select("id", F.col("x.b").alias("partner"), F.col("x.similarity").alias("similarity"))
     return copies.unionAll(near)
-
-
-def weighted_reps(plain: DataFrame, groups: DataFrame) -> DataFrame:
-    """Postings of one row for each text, with document counts over all rows."""
-    pattern = "[\\p{L}\\p{N}_\\u0900-\\u097F]+"
-    tf = groups.select(F.col("rep").alias("id"), "n", F.explode(terms(F.col("text"), pattern, False)).alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.sum("n").alias("df"))
-    total = plain.agg(F.count("*").alias("total"))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1))
-    norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norm, "id").select("id", "term", "df", (F.col("w") / F.col("norm")).alias("w"))

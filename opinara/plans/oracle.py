@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from opinara.functions import lexicon as L
-from opinara.sources.reviews import CLOSERS, OPENERS
+from opinara.sources.reviews import CLOSERS, MIDDLES, OPENERS
 
 
 def lit(text: str) -> str:
@@ -46,7 +46,8 @@ REVIEWS = f"""
 rv AS (
     SELECT 'O' || o_orderkey AS review_id, 'Product ' || (o_custkey % 12) AS product_name,
            CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS rating, o_orderdate::TIMESTAMP AS review_date,
-           {_list(OPENERS)}[1 + o_orderkey % {len(OPENERS)}] || ' ' || {_list(CLOSERS)}[1 + o_custkey % {len(CLOSERS)}] AS review_text
+           concat_ws(' ', {_list(OPENERS)}[1 + o_orderkey % {len(OPENERS)}], {_list(MIDDLES)}[1 + (o_orderkey // {len(OPENERS)}) % {len(MIDDLES)}], {_list(CLOSERS)}[1 + o_custkey % {len(CLOSERS)}],
+                     CASE WHEN o_orderkey % 50 = 7 THEN 'Order ' || o_orderkey || '.' END) AS review_text
     FROM orders
 ), valence(word, v) AS (VALUES {_VALENCE}),
 texts AS (SELECT DISTINCT review_text FROM rv),

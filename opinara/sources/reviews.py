@@ -20,6 +20,19 @@ OPENERS = (
     "Average.",
     "WORST APP EVER and I regret it.",
 )
+MIDDLES = (
+    "Sound quality is superb, build quality is not.",
+    "It is not bad, but not what I expected.",
+    "लेकिन आवाज़ साफ है।",
+    "The call quality dropped, although the support team was helpful.",
+    "Never again!",
+    "Not worth the money, though the strap is soft.",
+    "Setup was easy; pairing fails every time!!!",
+    "Ekdum mast hai yaar, paisa vasool.",
+    "How do I connect it to two devices?",
+    "The refund arrived late and the hinge cracked.",
+    "I am angry, furious even: it drains and drains.",
+)
 CLOSERS = (
     "I wish it had a longer cable.",
     "Must buy, highly recommend.",
@@ -40,12 +53,12 @@ def _pick(phrases: tuple[str, ...], number) -> Column:
 
 
 def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One review for each order; reads five columns."""
+    """One review for each order, in a thousand wordings, and one in fifty with a text of its own; reads five columns."""
     orders = table(spark, sf_dir, "orders")
     return orders.select(
         F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("review_id"),
         F.concat(F.lit("Product "), (F.col("o_custkey") % 12).cast("string")).alias("product_name"),
         F.substring("o_orderpriority", 1, 1).cast("double").alias("rating"),
-        F.concat_ws(" ", _pick(OPENERS, F.col("o_orderkey")), _pick(CLOSERS, F.col("o_custkey"))).alias("review_text"),
+        F.concat_ws(" ", _pick(OPENERS, F.col("o_orderkey")), _pick(MIDDLES, F.floor(F.col("o_orderkey") / len(OPENERS))), _pick(CLOSERS, F.col("o_custkey")), F.when(F.col("o_orderkey") % 50 == 7, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(".")))).alias("review_text"),
         F.col("o_orderdate").cast("timestamp").alias("review_date"),
     )
