@@ -154,10 +154,12 @@ def _linked(files: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
 def near_links(texts: DataFrame, others: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``a``, ``b``: the links of ``others``, and those between the fingerprints of near copies, as a written table.
 
-    ``texts`` has a row (``fp``, ``n``, ``sketch``, ``bands``) for each distinct text, written before.
+    ``texts`` has a row (``tid``, ``fp``, ``n``, ``sketch``, ``bands``) for each text, written before; those of equal
+    sets have one ``tid``. Sets move once, to meet the files they are in.
     """
-    named = texts.where("n > 0").withColumn("tid", F.xxhash64("fp", "n", "sketch"))
-    keyed = named.select("tid", "fp", F.octet_length("sketch").alias("bytes"), F.explode("bands").alias("key"))
+    named = texts.where("n > 0").select("tid", "fp", "n", "sketch").dropDuplicates(["tid"])
+    narrow = texts.where("n > 0").select("tid", "fp", F.octet_length("sketch").alias("bytes"), "bands").distinct()
+    keyed = narrow.select("tid", "fp", "bytes", F.explode("bands").alias("key"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("b") / BLOCK_BYTES)).cast("long")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum("bytes").alias("b")).where("m > 1").select("key", blocks.alias("blocks"))
     dealt = written(keyed.drop("bytes").join(sizes, "key").withColumn("block", F.expr("pmod(xxhash64(tid, 7L), blocks)")), "near-dealt")
@@ -185,8 +187,3 @@ def near_links(texts: DataFrame, others: DataFrame, similarity: float = SIMILARI
         found = more
     drop_written(dealt)
     return found
-
-
-def distinct_texts(marked: DataFrame) -> DataFrame:
-    """The distinct sets of shingles among marked rows, as a written table."""
-    return written(marked.select("fp", "n", "sketch", "bands").distinct(), "near-texts")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm.common import drop_written, free, written
 from opinara.llm.components import components
-from opinara.llm.near_copies import SIMILARITY, distinct_texts, near_links, sketch
+from opinara.llm.near_copies import SIMILARITY, near_links, sketch
 
 SHINGLE = 3
 #: Words of a shingle where texts are compared by the similarity of their shingle sets.
@@ -197,13 +197,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         marked = written(with_fingerprints(df, key, text, shingle), "simhash")
         joined = components(links(marked), "a", "b")
     else:
-        sketched = written(with_marks(df, key, text, shingle), "simhash-sketched")
-        texts = distinct_texts(sketched)
+        sketched = written(with_marks(df, key, text, shingle).withColumn("tid", F.xxhash64("fp", "n", "sketch")), "simhash-sketched")
         marked = written(sketched.select("doc_id", "fp"), "simhash")
+        near = near_links(sketched, links(marked), similarity)
         drop_written(sketched)
-        near = near_links(texts, links(marked), similarity)
         joined = components(near, "a", "b")
-        drop_written(texts)
         drop_written(near)
     names = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     linked = written(joined.withColumnRenamed("node", "fp").join(names, "fp"), "simhash-linked")

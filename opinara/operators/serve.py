@@ -127,15 +127,15 @@ def chunk_lines(lines: Sequence[str], most: int = CHUNK) -> list[str]:
 
 
 def prompt_chunks(reviews: DataFrame, newest: int = NEWEST, most: int = CHUNK) -> DataFrame:
-    """``chunk``, ``text`` of the newest reviews' lines: a bounded set, folded in order in one task."""
-    last = reviews.orderBy(F.desc("review_date"), "review_id").limit(newest).select(review_line().alias("line"))
+    """``chunk``, ``text`` of the newest reviews' lines, oldest first: a bounded set, folded in order in one task."""
+    last = reviews.orderBy(F.desc("review_date"), "review_id").limit(newest).select("review_date", "review_id", review_line().alias("line"))
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lines = [line for part in parts for line in part["line"]]
         made = chunk_lines(lines, most)
         yield pd.DataFrame({"chunk": range(len(made)), "text": made})
 
-    return last.coalesce(1).mapInPandas(fold, "chunk long, text string")
+    return last.repartition(1).sortWithinPartitions("review_date", "review_id").select("line").mapInPandas(fold, "chunk long, text string")
 
 
 def answer_chunks(chunks: DataFrame, client: Callable[[str], str], prompt: str) -> DataFrame:

@@ -75,8 +75,26 @@ marked AS (
     FROM marked
 )"""
 
+def language_sql() -> str:
+    """``lang``: the language of every review and document."""
+    return _MARKED
+
+
 _EMOTION_COLUMNS = ", ".join(f"len(regexp_extract_all(' ' || replace(review_text, ' ', '  ') || ' ', {lit(any_word([w.replace(' ', '  ') for w in words], literal=False))})) AS {name.lower()}" for name, words in L.EMOTIONS.items())
 
+_UNNEGATED = "(?i)(?:\\b(?:not|no|never|nahi|nahin)|n't|नहीं)\\s+(?:\\w+\\s+)?(?:%s)([^\\p{L}\\p{N}_\\x{0900}-\\x{097F}])"
+
+
+def _felt(name: str) -> str:
+    words, text = [w.replace(" ", "  ") for w in L.EMOTIONS[name]], "' ' || replace(review_text, ' ', '  ') || ' '"
+    if name in L.POSITIVE_EMOTIONS:
+        text = f"regexp_replace({text}, {lit(_UNNEGATED % '|'.join(words))}, ' \\1', 'g')"
+    return f"len(regexp_extract_all({text}, {lit(any_word(words, literal=False))}))"
+
+
+_FEELING = f"""fh AS (SELECT review_id, [{', '.join(_felt(n) for n in L.EMOTIONS)}] AS h FROM rv),
+fe AS (SELECT review_id, CASE WHEN list_max(h) = 0 THEN {lit(L.NO_EMOTION)} ELSE [{', '.join(lit(n) for n in L.EMOTIONS)}][list_position(h, list_max(h))] END AS emotion FROM fh)"""
+
 _SATISFACTION = """tt AS (
     SELECT theme, count(DISTINCT CASE WHEN product_name = 'Product 1' AND polarity = 'praise' THEN review_id END) AS praise_a,
            count(DISTINCT CASE WHEN product_name = 'Product 1' AND polarity = 'complaint' THEN review_id END) AS complaints_a,
@@ -89,7 +107,7 @@ _SATISFACTION = """tt AS (
     FROM tt
 )"""
 
-_SUMMARY = f"""SELECT theme, count(DISTINCT CASE WHEN polarity = 'praise' THEN review_id END) AS praise, count(DISTINCT CASE WHEN polarity = 'complaint' THEN review_id END) AS complaints,
+SUMMARY = f"""SELECT theme, count(DISTINCT CASE WHEN polarity = 'praise' THEN review_id END) AS praise, count(DISTINCT CASE WHEN polarity = 'complaint' THEN review_id END) AS complaints,
        count(DISTINCT CASE WHEN polarity = 'neutral' THEN review_id END) AS neutral FROM me GROUP BY theme"""
 
 
@@ -99,7 +117,7 @@ def _zero_filled(column: str, labels, source: str) -> str:
 
 
 _PER_PRODUCT = "count(*) AS reviews, avg(rating) AS a, count(*) FILTER (sentiment = 'Positive') AS p, count(*) FILTER (sentiment = 'Negative') AS m FROM en"
-_PRIORITY = f"""
+PRIORITY = f"""
 win AS (SELECT epoch_us(max(review_date)) AS last, greatest(floor((epoch_us(max(review_date)) - epoch_us(min(review_date))) / 86400000000.0), 1) AS span FROM rv),
 st AS (SELECT last - ((CASE WHEN span >= 120 THEN 30 ELSE greatest(7, floor(span / 4)) END)::BIGINT - 1) * 86400000000 AS start FROM win),
 tot AS (SELECT start, count(*) AS total, count(*) FILTER (epoch_us(review_date) >= start) AS recent, count(*) FILTER (epoch_us(review_date) < start) AS earlier FROM rv, st GROUP BY start),
@@ -146,12 +164,14 @@ ORACLES = {
     "clause_split": f"WITH {MENTIONS} SELECT review_id, CAST(row_number() OVER (PARTITION BY review_id ORDER BY pos) - 1 AS BIGINT) AS pos, clause FROM rv JOIN cl USING (review_text)",
     "mentions_keyword": f"WITH {MENTIONS} SELECT review_id, theme, polarity, clause, clause_score FROM me",
     "emotion_hits": f"WITH {REVIEWS} SELECT review_id, {_EMOTION_COLUMNS} FROM rv",
+    "emotion": f"WITH {REVIEWS}, {_FEELING} SELECT review_id, emotion FROM fe",
+    "emotion_mix": f"WITH {REVIEWS}, {_FEELING} {_zero_filled('emotion', [*L.EMOTIONS, L.NO_EMOTION], 'fe')}",
     "sentiment_mix": f"WITH {REVIEWS} {_zero_filled('sentiment', L.SENTIMENTS, 'en')}",
     "rating_histogram": f"WITH {REVIEWS} SELECT stars, count(review_id) AS reviews FROM (SELECT unnest(range(1, 6))::INT AS stars) LEFT JOIN rv ON round_even(rating, 0) = stars GROUP BY 1",
-    "theme_summary": f"WITH {MENTIONS}, s AS ({_SUMMARY}), n AS (SELECT count(*) AS total FROM rv) SELECT s.*, {rnd('praise / total * 100', 1)} AS praise_pct, {rnd('complaints / total * 100', 1)} AS complaint_pct FROM s, n",
-    "theme_map": f"WITH {MENTIONS}, s AS ({_SUMMARY}) SELECT theme, praise + complaints + neutral AS mentions, {rnd('(praise - complaints) / (praise + complaints) * 100', 1)} AS net FROM s WHERE praise + complaints > 0",
+    "theme_summary": f"WITH {MENTIONS}, s AS ({SUMMARY}), n AS (SELECT count(*) AS total FROM rv) SELECT s.*, {rnd('praise / total * 100', 1)} AS praise_pct, {rnd('complaints / total * 100', 1)} AS complaint_pct FROM s, n",
+    "theme_map": f"WITH {MENTIONS}, s AS ({SUMMARY}) SELECT theme, praise + complaints + neutral AS mentions, {rnd('(praise - complaints) / (praise + complaints) * 100', 1)} AS net FROM s WHERE praise + complaints > 0",
     "top_complaints": f"WITH {MENTIONS} SELECT theme, count(DISTINCT review_id) AS mentions, arg_min(review_text, (clause_score, review_id)) AS example_review FROM me WHERE polarity = 'complaint' GROUP BY theme ORDER BY mentions DESC, theme LIMIT 5",
-    "priority_ranking": f"""WITH {MENTIONS}, {_PRIORITY}
+    "priority_ranking": f"""WITH {MENTIONS}, {PRIORITY}
         SELECT theme, CASE WHEN raw >= 70 AND n >= 5 THEN 'Critical' WHEN raw >= 50 AND n >= 3 THEN 'High' WHEN raw >= 30 AND n >= 2 THEN 'Medium' ELSE 'Low' END AS level, {rnd('raw', 1)} AS score,
                n AS complaint_reviews, {rnd('n / total * 100', 1)} AS share_pct, {rnd('avg_r', 2)} AS avg_rating, {rnd('freq', 2)} AS frequency, {rnd('neg', 2)} AS negativity, {rnd('low', 2)} AS low_ratings,
                rise AS recent_rise, {rnd('rr * 100', 1)} AS recent_rate_pct, {rnd('er * 100', 1)} AS earlier_rate_pct FROM s""",

@@ -9,7 +9,7 @@ from opinara.functions import lexicon as L
 from opinara.functions import parsing as P
 from opinara.operators import ingest, serve
 from opinara.plans.feedback import enriched, mentioned
-from opinara.plans.oracle import MENTIONS, REVIEWS, lit, rnd
+from opinara.plans.oracle import MENTIONS, REVIEWS, lit, rnd, tfidf
 from opinara.sources.reviews import order_reviews, table
 
 _RATINGS = ("%s", "%s stars", "%s/5", "%s out of 10", "★★★", "4,%s", "none")
@@ -128,12 +128,19 @@ QUERIES = {
     "page_n": page_n,
     "question_boost": lambda spark, sf: serve.relevance(enriched(spark, sf), _QUESTION, mentioned(spark, sf)).select("review_id", "relevance"),
     "retrieve_topk": lambda spark, sf: serve.retrieve(enriched(spark, sf), _QUESTION, mentioned(spark, sf)).select("review_id", "relevance"),
-    "review_lines": lambda spark, sf: order_reviews(spark, sf).select("review_id", serve.review_line(60).alias("line")),
-    "chunk_lines": lambda spark, sf: serve.prompt_chunks(order_reviews(spark, sf)),
+    "retrieve_general": lambda spark, sf: serve.retrieve(enriched(spark, sf), "What is it all about?", mentioned(spark, sf)).select("review_id", "relevance"),
+    "review_lines": lambda spark, sf: order_reviews(spark, sf).select("review_id", serve.review_line().alias("line")),
+    "chunk_lines": lambda spark, sf: serve.prompt_chunks(order_reviews(spark, sf), newest=serve.NEWEST),  # the operator's own bound on what goes into prompts
     "citation_check": lambda spark, sf: serve.check_citations(answers(spark, sf), order_reviews(spark, sf)),
     "template_reply": lambda spark, sf: serve.replies(enriched(spark, sf), mentioned(spark, sf)),
 }
 
+_ASKED = f"""qd AS (SELECT review_text AS id, lower(review_text) AS text, count(*) AS n FROM rv GROUP BY ALL UNION ALL SELECT NULL, lower({lit(_QUESTION)}), 1),
+qe AS (SELECT coalesce(id, '?') AS id, text, n FROM qd),
+{tfidf('qv', 'qe', '[\\p{L}\\p{N}_]{2,}', 'SELECT count(*) + 1 FROM rv', sublinear=True, stop=True)},
+qc AS (SELECT a.id AS review_text, sum(a.w * b.w) AS cosine FROM qv a JOIN qv b ON b.id = '?' AND a.term = b.term WHERE a.id <> '?' GROUP BY 1),
+rk AS (SELECT review_id, floor((coalesce(cosine, 0) + CASE WHEN review_id IN (SELECT review_id FROM me WHERE theme IN ({', '.join(lit(t) for t in serve.question_themes(_QUESTION))})) THEN 0.5 ELSE 0 END) * 10000 + 0.5) / 10000 AS relevance
+       FROM rv LEFT JOIN qc USING (review_text))"""
 _FORMS = ["d", "d || ' stars'", "d || '/5'", "d || ' out of 10'", "'★★★'", "'4,' || d", "'none'"]
 _RAW = f"ra AS (SELECT o_orderkey, CASE o_orderkey % 7 {' '.join(f'WHEN {i} THEN {f}' for i, f in enumerate(_FORMS))} END AS raw FROM (SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS d FROM orders))"
 _PARSED = f"""pr AS (
@@ -172,12 +179,29 @@ ORACLES = {
     "video_keys": "SELECT 'O' || o_orderkey AS review_id, upper(substr(sha1('O' || o_orderkey), 1, 8)) AS key, right('aaaaaaaaaaa' || 'O' || o_orderkey, 11) AS video, CASE WHEN o_orderkey >= 3600 THEN (o_orderkey // 3600) || ':' || lpad((o_orderkey // 60 % 60)::VARCHAR, 2, '0') ELSE (o_orderkey // 60)::VARCHAR END || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS at FROM orders",
     "caption_offsets": """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\[[^\\]]*\\]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM conversations WHERE text IS NOT NULL)
         SELECT conv_id, turn, coalesce(sum(length(s) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM c WHERE s <> ''""",
+    "moment_asof": """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\[[^\\]]*\\]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM conversations WHERE text IS NOT NULL),
+        p AS (SELECT conv_id, turn, s, coalesce(sum(length(s) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM c WHERE s <> ''),
+        t AS (SELECT conv_id, string_agg(s, ' ' ORDER BY place) AS whole FROM p GROUP BY 1)
+        SELECT p.conv_id, p.turn, arg_max(o.turn * 7.5, o.place) AS seconds FROM p JOIN t USING (conv_id) JOIN p o ON o.conv_id = p.conv_id AND o.place <= instr(whole, p.s) - 1 GROUP BY ALL""",
     "json_props": "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, len(json_keys(props)) AS n FROM events",
     "page_scrape": "SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages",
     "faceted_search": f"WITH {REVIEWS} SELECT review_id, rating, review_date FROM en WHERE contains(lower(review_text), 'battery') AND rating BETWEEN 1 AND 3 AND review_date >= '1996-01-01' AND review_date < '2000-01-01' AND sentiment = 'Negative'",
     "theme_filter": f"WITH {MENTIONS} SELECT review_id FROM rv WHERE review_id IN (SELECT review_id FROM me WHERE theme = 'Connectivity' AND polarity = 'complaint')",
     "page_n": f"WITH {REVIEWS} SELECT review_id, rating, review_date FROM rv ORDER BY review_date DESC, review_id LIMIT 12 OFFSET 24",
-    "review_lines": f"""WITH {REVIEWS} SELECT review_id, '[' || review_id || '] ' || rating::INT || ' stars, ' || strftime(review_date, '%Y-%m-%d') || ', ' || product_name || ': ' || CASE WHEN length(review_text) > 60 THEN substr(review_text, 1, 60) || '...' ELSE review_text END AS line FROM rv""",
+    "review_lines": f"""WITH {REVIEWS} SELECT review_id, '[' || review_id || '] ' || rating::INT || ' stars, ' || strftime(review_date, '%Y-%m-%d') || ', ' || product_name || ': ' || CASE WHEN length(review_text) > {serve.LINE} THEN substr(review_text, 1, {serve.LINE}) || '...' ELSE review_text END AS line FROM rv""",
+    "question_boost": f"WITH {MENTIONS}, {_ASKED} SELECT review_id, relevance FROM rk",
+    "retrieve_topk": f"WITH {MENTIONS}, {_ASKED} SELECT review_id, relevance FROM rk WHERE relevance > 0.05 ORDER BY relevance DESC, review_id LIMIT 60",
+    "retrieve_general": f"""WITH {REVIEWS}, f AS (
+            SELECT * FROM (SELECT review_id, 1 AS turn, row_number() OVER (ORDER BY sentiment_score, review_id) AS k FROM en UNION ALL SELECT review_id, 2, row_number() OVER (ORDER BY sentiment_score DESC, review_id) FROM en
+                           UNION ALL SELECT review_id, 3, row_number() OVER (ORDER BY review_date DESC, review_id) FROM en) WHERE k <= 20)
+        SELECT DISTINCT review_id, 0.0 AS relevance FROM f""",
+    "chunk_lines": f"""WITH RECURSIVE {REVIEWS}, nw AS (SELECT * FROM rv ORDER BY review_date DESC, review_id LIMIT {serve.NEWEST}),
+        l AS (SELECT row_number() OVER w AS i, line, sum(length(line) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+              FROM (SELECT *, '[' || review_id || '] ' || rating::INT || ' stars, ' || strftime(review_date, '%Y-%m-%d') || ', ' || product_name || ': ' || review_text AS line FROM nw) WINDOW w AS (ORDER BY review_date, review_id)),
+        c AS (SELECT 0 AS chunk, 1 AS start, 0 AS base UNION ALL
+              SELECT chunk + 1, (SELECT min(i) FROM l WHERE i > start AND upto - 1 - base > {serve.CHUNK}), (SELECT max(upto) FROM l WHERE i < (SELECT min(i) FROM l WHERE i > start AND upto - 1 - base > {serve.CHUNK})) FROM c
+              WHERE EXISTS (SELECT 1 FROM l WHERE i > start AND upto - 1 - base > {serve.CHUNK}))
+        SELECT chunk::BIGINT AS chunk, string_agg(line, chr(10) ORDER BY i) AS text FROM l ASOF JOIN c ON l.i >= c.start GROUP BY chunk""",
     "citation_check": "SELECT o_orderkey AS answer_id, unnest(['O' || o_orderkey, 'X' || o_orderkey]) AS cited_id, unnest([true, false]) AS known FROM orders",
     "template_reply": f"""WITH {MENTIONS}, s AS (
             SELECT review_id, product_name, coalesce(list(DISTINCT theme ORDER BY theme) FILTER (polarity = 'complaint'), [])[1:2] AS c, coalesce(list(DISTINCT theme ORDER BY theme) FILTER (polarity = 'praise'), [])[1:2] AS p

@@ -41,6 +41,8 @@ CLOSERS = (
     "Kharab quality hai, paisa barbaad.",
     "Okay overall.",
     "Please add a running mode. The seller was helpful.",
+    "I wish it had an EQ and a much longer cable.",
+    "Would be nice if it had a mode for runs.",
 )
 
 
@@ -52,13 +54,21 @@ def _pick(phrases: tuple[str, ...], number) -> Column:
     return F.element_at(F.array(*[F.lit(p) for p in phrases]), (1 + number % len(phrases)).cast("int"))
 
 
+#: From this day to the end of the orders, two reviews in three are bad and open with the first phrase.
+BAD_DAYS = "2001-07-19"
+
+
 def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One review for each order, in a thousand wordings, and one in fifty with a text of its own; reads five columns."""
+    """One review for each order, in a thousand wordings, and one in fifty with a text of its own; reads five columns.
+
+    The last days hold a planted rise of complaints.
+    """
     orders = table(spark, sf_dir, "orders")
+    bad = (F.col("o_orderdate") >= F.lit(BAD_DAYS).cast("timestamp")) & (F.col("o_orderkey") % 3 != 0)
     return orders.select(
         F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("review_id"),
         F.concat(F.lit("Product "), (F.col("o_custkey") % 12).cast("string")).alias("product_name"),
-        F.substring("o_orderpriority", 1, 1).cast("double").alias("rating"),
-        F.concat_ws(" ", _pick(OPENERS, F.col("o_orderkey")), _pick(MIDDLES, F.floor(F.col("o_orderkey") / len(OPENERS))), _pick(CLOSERS, F.col("o_custkey")), F.when(F.col("o_orderkey") % 50 == 7, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(".")))).alias("review_text"),
+        F.when(bad, 1.0).otherwise(F.substring("o_orderpriority", 1, 1).cast("double")).alias("rating"),
+        F.concat_ws(" ", _pick(OPENERS, F.when(bad, 0).otherwise(F.col("o_orderkey"))), _pick(MIDDLES, F.floor(F.col("o_orderkey") / len(OPENERS))), _pick(CLOSERS, F.col("o_custkey")), F.when(F.col("o_orderkey") % 50 == 7, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(".")))).alias("review_text"),
         F.col("o_orderdate").cast("timestamp").alias("review_date"),
     )

@@ -121,8 +121,8 @@ def test_blocks_miss_no_link(spark, monkeypatch, seed):
         at = rng.choice(100, rng.integers(1, 25), replace=False)
         s[at] = rng.integers(0, 2**64, len(at), dtype=np.uint64)
         sets.append(s)
-    rows = [(k, *near_copies.sketch(s)[:2], [1, 2]) for k, s in enumerate(sets)]
-    texts = spark.createDataFrame(rows, "fp long, n long, sketch binary, bands array<long>")
+    rows = [(k, k, *near_copies.sketch(s)[:2], [1, 2]) for k, s in enumerate(sets)]
+    texts = spark.createDataFrame(rows + rows[:5], "tid long, fp long, n long, sketch binary, bands array<long>")
     found = near_copies.near_links(texts, spark.createDataFrame([], "a long, b long"))
     ours = {r["node"]: r["component"] for r in components(found, "a", "b").collect()}
     label = list(range(60))
