@@ -76,7 +76,8 @@ def short_key(text: Column, size: int = 8) -> Column:
 
 def views_label(n: Column) -> Column:
     short = lambda by, sign: F.concat(F.regexp_replace(F.format_string("%.1f", n / by), "\\.0$", ""), F.lit(sign))
-    return F.when(n >= 1_000_000, short(1e6, "M")).when(n >= 1000, short(1e3, "K")).otherwise(n.cast("long").cast("string"))
+    told = F.when(n >= 1_000_000_000, short(1e9, "B")).when(n >= 1_000_000, short(1e6, "M")).when(n >= 1000, short(1e3, "K")).otherwise(n.cast("long").cast("string"))
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "").otherwise(F.concat(told, F.lit(" views")))
 
 
 def seconds_label(s: Column) -> Column:
@@ -90,6 +91,30 @@ def star_signs(value: Column) -> Column:
     return F.concat(F.repeat(F.lit("★"), full), F.repeat(F.lit("☆"), 5 - full))
 
 
-def excerpt(text: Column, limit: int = 420) -> Column:
-    """The text, or its first ``limit`` characters up to a word's end and three dots."""
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, limit), "\\s+\\S*$", ""), F.lit("...")))
+def excerpt(text: Column, focus: Column | None = None, limit: int = 420) -> Column:
+    """The text; a long one as a window of ``limit`` characters around ``focus``, or its start up to a word's end."""
+    cut = F.concat(F.regexp_replace(F.substring(text, 1, limit), " [^ ]*$", ""), F.lit(" …"))
+    if focus is not None:
+        at = F.instr(text, focus) - 1
+        begin = F.greatest(F.lit(0), at - limit // 3)
+        window = F.concat(F.when(begin > 0, "… ").otherwise(""), F.substring(text, begin + 1, F.lit(limit)), F.when(begin + limit < F.length(text), " …").otherwise(""))
+        cut = F.when((at >= 0) & (F.length(focus) > 0), window).otherwise(cut)
+    return F.when(F.length(text) <= limit, text).otherwise(cut)
+
+
+def escaped(text: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def highlighted(text: Column, clauses: Column) -> Column:
+    """HTML of the text with the first place of each praise or complaint marked; ``clauses``: array of clause, polarity."""
+
+    def step(html: Column, c: Column) -> Column:
+        target = escaped(c["clause"])
+        at = F.instr(html, target)
+        mark = F.concat(F.substring(html, F.lit(1), at - 1), F.lit('<mark class="'), c["polarity"], F.lit('">'), target, F.lit("</mark>"), F.substring(html, at + F.length(target), F.length(html)))
+        return F.when(c["polarity"].isin("praise", "complaint") & (target != "") & (at > 0), mark).otherwise(html)
+
+    return F.aggregate(clauses, escaped(text), step)

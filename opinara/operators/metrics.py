@@ -168,3 +168,15 @@ def winners(a: dict, b: dict) -> dict[str, int]:
 def theme_map(summary: DataFrame) -> DataFrame:
     rated = F.col("praise") + F.col("complaints")
     return summary.where(rated > 0).select("theme", (rated + F.col("neutral")).alias("mentions"), rint((F.col("praise") - F.col("complaints")) / rated * 100, 1).alias("net"))
+
+
+def products(reviews: DataFrame) -> DataFrame:
+    """Products by volume, the larger first, then by name."""
+    return reviews.groupBy("product_name").agg(F.count("*").alias("reviews")).orderBy(F.desc("reviews"), "product_name")
+
+
+def theme_radar(table: DataFrame, limit: int = 8) -> DataFrame:
+    """Satisfaction with the most mentioned themes of two products, 0 where too few rate it."""
+    total = F.col("praise_a") + F.col("complaints_a") + F.col("praise_b") + F.col("complaints_b")
+    rated = table.where("satisfaction_a IS NOT NULL OR satisfaction_b IS NOT NULL").orderBy(F.desc(total), "theme").limit(limit)
+    return rated.select("theme", F.coalesce("satisfaction_a", F.lit(0.0)).alias("a"), F.coalesce("satisfaction_b", F.lit(0.0)).alias("b"))

@@ -113,4 +113,17 @@ def integrity(reviews: DataFrame) -> DataFrame:
 
 
 def video_reach(videos: DataFrame) -> DataFrame:
-    return videos.agg(F.sum("views").alias("views"), F.sum(F.when(F.col("sentiment") == "Negative", F.col("views"))).alias("negative_views"))
+    """One row: the views of all videos and of the negative ones."""
+    return videos.agg(F.coalesce(F.sum("views"), F.lit(0)).alias("views"), F.coalesce(F.sum(F.when(F.col("sentiment") == "Negative", F.col("views"))), F.lit(0)).alias("negative_views"))
+
+
+def compare_text(reviews: DataFrame, mentions: DataFrame, a: str, b: str) -> str:
+    """The figures of two products, for prompts."""
+    by = {r["product_name"]: r for r in metrics.product_metrics(reviews.where(F.col("product_name").isin(a, b))).collect()}
+    lines = [f"{p}: {m['reviews']} reviews, {m['avg_rating']} stars of 5 on average, {m['positive_pct']} % positive, {m['negative_pct']} % negative, health {m['health']} of 100" for p in (a, b) if (m := by.get(p))]
+    total = F.col("praise_a") + F.col("complaints_a") + F.col("praise_b") + F.col("complaints_b")
+    score = lambda v: "none" if v is None else str(int(v))
+    lines.append("By theme, praise / complaints / satisfaction of 100:")
+    for r in metrics.theme_table(mentions, a, b).orderBy(F.desc(total), "theme").collect():
+        lines.append(f"- {r['theme']}: {a} {r['praise_a']}/{r['complaints_a']}/{score(r['satisfaction_a'])}, {b} {r['praise_b']}/{r['complaints_b']}/{score(r['satisfaction_b'])}")
+    return "\n".join(lines)

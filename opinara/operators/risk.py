@@ -63,3 +63,8 @@ def same_rating_volume(reviews: DataFrame) -> DataFrame:
     """The window form of the burst count, for filters on product and day that should reach the scan."""
     alike = Window.partitionBy("product_name", F.to_date("review_date"), "rating")
     return reviews.withColumn("same_day", F.count("*").over(alike))
+
+
+def risk_queue(assessed: DataFrame, levels: tuple[str, ...] = ("High", "Medium")) -> DataFrame:
+    """Reviews of the levels, the riskiest first."""
+    return assessed.where(F.col("risk_level").isin(*levels)).orderBy(F.desc("risk_score"), "review_id")

@@ -187,3 +187,23 @@ def moment_seconds(text: Column, clause: Column, stamps: Column) -> Column:
     found = F.filter(stamps, lambda s: s["offset"] <= at - 1)
     chosen = F.when(F.size(found) > 0, F.get(found, F.size(found) - 1)).otherwise(F.get(stamps, F.lit(0)))
     return F.when((at > 0) & (F.size(stamps) > 0), chosen["seconds"])
+
+
+def moment_link(video_id: Column, seconds: Column) -> Column:
+    """The address that starts a video at a moment; null without an id or a moment."""
+    return F.when(video_id.isNotNull() & (video_id != "") & seconds.isNotNull(), F.concat(F.lit("https://www.youtube.com/watch?v="), video_id, F.lit("&t="), seconds.cast("long").cast("string"), F.lit("s")))
+
+
+def reply_queue(reviews: DataFrame, which: str = "negative") -> DataFrame:
+    """Reviews to reply to: ``negative`` ones, those ``low`` in stars (3 or fewer), or ``all``."""
+    chosen = {"negative": F.col("sentiment") == "Negative", "low": F.col("rating") <= 3, "all": F.lit(True)}
+    return reviews.where(chosen[which])
+
+
+def new_links(links: DataFrame, known: DataFrame, link: str = "link") -> DataFrame:
+    """``key``, ``link`` of the videos not yet in ``known`` (``video_id``), each once, under its first link in order."""
+    from opinara.functions.parsing import youtube_id
+
+    keyed = links.select(F.col("position"), F.trim(link).alias("link")).withColumn("key", youtube_id(F.col("link"))).where("key IS NOT NULL")
+    first = keyed.groupBy("key").agg(F.min_by("link", "position").alias("link"))
+    return first.join(known.select(F.col("video_id").alias("key")), "key", "left_anti")

@@ -87,3 +87,30 @@ def _newest(rows: DataFrame, name: str, value: Column, limit: int = 3) -> DataFr
     one = rows.select(value.alias(name), "review_date", "review_id").distinct()
     ranked = one.withColumn("k", F.row_number().over(Window.partitionBy(name).orderBy(F.desc("review_date"), "review_id"))).where(F.col("k") <= limit)
     return ranked.groupBy(name).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "review_id"))), lambda x: x["review_id"]).alias("evidence"))
+
+
+#: One level coarser than a grain, for lines by theme.
+COARSER = {"Daily": "Weekly", "Weekly": "Monthly", "Monthly": "Monthly"}
+
+
+def theme_lines(mentions: DataFrame, frequency: str, top: int = 5) -> DataFrame:
+    """Complaints by theme and period, one level coarser than ``frequency``, of the ``top`` themes by volume."""
+    by = theme_trends(mentions, COARSER[frequency])
+    most = by.groupBy("theme").agg(F.sum("reviews").alias("__all")).orderBy(F.desc("__all"), "theme").limit(top)
+    return by.join(F.broadcast(most.select("theme")), "theme")
+
+
+def sparkline(reviews: DataFrame) -> DataFrame:
+    """The periods that have reviews, by week, or by month where the span asks for months."""
+    monthly = F.col("frequency") == "Monthly"
+    placed = reviews.crossJoin(F.broadcast(auto_frequency(reviews)))
+    start = F.when(monthly, period(F.col("review_date"), "Monthly")).otherwise(period(F.col("review_date"), "Weekly"))
+    share = lambda k: rint(F.count_if(F.col("sentiment") == k) / F.count("*") * 100, 1)
+    return placed.groupBy(start.alias("period")).agg(F.count("*").alias("reviews"), rint(F.avg("rating"), 2).alias("avg_rating"), share("Positive").alias("positive_pct"), share("Negative").alias("negative_pct"))
+
+
+def video_markers(reviews: DataFrame, videos: DataFrame, text_source: str = "text") -> DataFrame:
+    """``date``, ``value``, ``label`` of the reviews that are not texts; the label is the video's title, or the id."""
+    titles = videos.select("review_id", F.col("video_title").alias("__title"))
+    marked = reviews.where(F.col("source") != text_source).join(titles, "review_id", "left")
+    return marked.select(F.col("review_date").alias("date"), F.col("rating").alias("value"), F.coalesce("__title", "review_id").alias("label"))

@@ -92,10 +92,10 @@ def _felt(name: str) -> str:
     return f"len(regexp_extract_all({text}, {lit(any_word(words, literal=False))}))"
 
 
-_FEELING = f"""fh AS (SELECT review_id, [{', '.join(_felt(n) for n in L.EMOTIONS)}] AS h FROM rv),
+FEELING = f"""fh AS (SELECT review_id, [{', '.join(_felt(n) for n in L.EMOTIONS)}] AS h FROM rv),
 fe AS (SELECT review_id, CASE WHEN list_max(h) = 0 THEN {lit(L.NO_EMOTION)} ELSE [{', '.join(lit(n) for n in L.EMOTIONS)}][list_position(h, list_max(h))] END AS emotion FROM fh)"""
 
-_SATISFACTION = """tt AS (
+SATISFACTION = """tt AS (
     SELECT theme, count(DISTINCT CASE WHEN product_name = 'Product 1' AND polarity = 'praise' THEN review_id END) AS praise_a,
            count(DISTINCT CASE WHEN product_name = 'Product 1' AND polarity = 'complaint' THEN review_id END) AS complaints_a,
            count(DISTINCT CASE WHEN product_name = 'Product 2' AND polarity = 'praise' THEN review_id END) AS praise_b,
@@ -164,8 +164,8 @@ ORACLES = {
     "clause_split": f"WITH {MENTIONS} SELECT review_id, CAST(row_number() OVER (PARTITION BY review_id ORDER BY pos) - 1 AS BIGINT) AS pos, clause FROM rv JOIN cl USING (review_text)",
     "mentions_keyword": f"WITH {MENTIONS} SELECT review_id, theme, polarity, clause, clause_score FROM me",
     "emotion_hits": f"WITH {REVIEWS} SELECT review_id, {_EMOTION_COLUMNS} FROM rv",
-    "emotion": f"WITH {REVIEWS}, {_FEELING} SELECT review_id, emotion FROM fe",
-    "emotion_mix": f"WITH {REVIEWS}, {_FEELING} {_zero_filled('emotion', [*L.EMOTIONS, L.NO_EMOTION], 'fe')}",
+    "emotion": f"WITH {REVIEWS}, {FEELING} SELECT review_id, emotion FROM fe",
+    "emotion_mix": f"WITH {REVIEWS}, {FEELING} {_zero_filled('emotion', [*L.EMOTIONS, L.NO_EMOTION], 'fe')}",
     "sentiment_mix": f"WITH {REVIEWS} {_zero_filled('sentiment', L.SENTIMENTS, 'en')}",
     "rating_histogram": f"WITH {REVIEWS} SELECT stars, count(review_id) AS reviews FROM (SELECT unnest(range(1, 6))::INT AS stars) LEFT JOIN rv ON round_even(rating, 0) = stars GROUP BY 1",
     "theme_summary": f"WITH {MENTIONS}, s AS ({SUMMARY}), n AS (SELECT count(*) AS total FROM rv) SELECT s.*, {rnd('praise / total * 100', 1)} AS praise_pct, {rnd('complaints / total * 100', 1)} AS complaint_pct FROM s, n",
@@ -186,8 +186,8 @@ ORACLES = {
     "product_metrics": f"""WITH {REVIEWS}, g AS (SELECT product_name, {_PER_PRODUCT} GROUP BY 1 UNION ALL SELECT 'All', {_PER_PRODUCT})
         SELECT product_name, reviews, {rnd('a', 2)} AS avg_rating, {rnd('p / reviews * 100', 1)} AS positive_pct, {rnd('m / reviews * 100', 1)} AS negative_pct,
                round_even(100 * (0.5 * (a - 1) / 4 + 0.5 * ((p - m) / reviews + 1) / 2), 0)::INT AS health FROM g""",
-    "theme_satisfaction": f"WITH {MENTIONS}, {_SATISFACTION} SELECT * FROM st",
-    "strengths": f"""WITH {MENTIONS}, {_SATISFACTION} SELECT CASE WHEN satisfaction_a > satisfaction_b THEN 'better' ELSE 'worse' END AS verdict,
+    "theme_satisfaction": f"WITH {MENTIONS}, {SATISFACTION} SELECT * FROM st",
+    "strengths": f"""WITH {MENTIONS}, {SATISFACTION} SELECT CASE WHEN satisfaction_a > satisfaction_b THEN 'better' ELSE 'worse' END AS verdict,
         row_number() OVER (PARTITION BY satisfaction_a > satisfaction_b ORDER BY abs(satisfaction_a - satisfaction_b) DESC, theme) AS rank, theme, satisfaction_a - satisfaction_b AS gap
         FROM st WHERE abs(satisfaction_a - satisfaction_b) >= 2 QUALIFY rank <= 3""",
 }

@@ -36,7 +36,7 @@ def dirty_reviews(spark: SparkSession, sf: str) -> DataFrame:
     }).drop("_k")
 
 
-_DIRTY = """di AS (
+DIRTY = """di AS (
     SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN '  ' ELSE review_text END AS review_text, CASE WHEN o_orderkey % 7 = 0 THEN 9.0 ELSE rating END AS rating,
            CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE review_date END AS review_date, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE review_id END AS review_id, CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE product_name END AS product_name
     FROM rv JOIN orders ON 'O' || o_orderkey = review_id
@@ -141,6 +141,10 @@ qe AS (SELECT coalesce(id, '?') AS id, text, n FROM qd),
 qc AS (SELECT a.id AS review_text, sum(a.w * b.w) AS cosine FROM qv a JOIN qv b ON b.id = '?' AND a.term = b.term WHERE a.id <> '?' GROUP BY 1),
 rk AS (SELECT review_id, floor((coalesce(cosine, 0) + CASE WHEN review_id IN (SELECT review_id FROM me WHERE theme IN ({', '.join(lit(t) for t in serve.question_themes(_QUESTION))})) THEN 0.5 ELSE 0 END) * 10000 + 0.5) / 10000 AS relevance
        FROM rv LEFT JOIN qc USING (review_text))"""
+MOMENTS = """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\[[^\\]]*\\]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM conversations WHERE text IS NOT NULL),
+        p AS (SELECT conv_id, turn, s, coalesce(sum(length(s) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM c WHERE s <> ''),
+        t AS (SELECT conv_id, string_agg(s, ' ' ORDER BY place) AS whole FROM p GROUP BY 1)
+        SELECT p.conv_id, p.turn, arg_max(o.turn * 7.5, o.place) AS seconds FROM p JOIN t USING (conv_id) JOIN p o ON o.conv_id = p.conv_id AND o.place <= instr(whole, p.s) - 1 GROUP BY ALL"""
 _FORMS = ["d", "d || ' stars'", "d || '/5'", "d || ' out of 10'", "'★★★'", "'4,' || d", "'none'"]
 _RAW = f"ra AS (SELECT o_orderkey, CASE o_orderkey % 7 {' '.join(f'WHEN {i} THEN {f}' for i, f in enumerate(_FORMS))} END AS raw FROM (SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS d FROM orders))"
 _PARSED = f"""pr AS (
@@ -169,8 +173,8 @@ ORACLES = {
         SELECT x.c AS column, count(*) AS filled, count(DISTINCT x.v) AS distinct, floor(avg(CASE WHEN regexp_matches(x.v, '^[0-9]+$') THEN 1.0 ELSE 0 END) * 10000 + 0.5) / 10000 AS rating_shape,
                floor(avg(length(x.v)) * 10000 + 0.5) / 10000 AS length, floor(avg(len(string_split_regex(x.v, '\\s+'))) * 10000 + 0.5) / 10000 AS words, floor(avg(CASE WHEN regexp_matches(x.v, '\\s') THEN 1.0 ELSE 0 END) * 10000 + 0.5) / 10000 AS spaced
         FROM c GROUP BY 1""",
-    "clean_rejects": f"WITH {REVIEWS}, {_DIRTY} SELECT CASE WHEN trim(review_text) = '' THEN 'text' WHEN rating > 5 THEN 'rating' WHEN review_date IS NULL THEN 'date' ELSE 'none' END AS reject, count(*) AS rows FROM di GROUP BY 1",
-    "clean_reviews": f"WITH {REVIEWS}, {_DIRTY} SELECT CASE WHEN review_id = '' THEN 'AUTO-' || (k + 1) ELSE review_id END AS review_id, CASE WHEN product_name = '' THEN 'Unknown product' ELSE product_name END AS product_name, rating FROM di WHERE trim(review_text) <> '' AND rating <= 5 AND review_date IS NOT NULL",
+    "clean_rejects": f"WITH {REVIEWS}, {DIRTY} SELECT CASE WHEN trim(review_text) = '' THEN 'text' WHEN rating > 5 THEN 'rating' WHEN review_date IS NULL THEN 'date' ELSE 'none' END AS reject, count(*) AS rows FROM di GROUP BY 1",
+    "clean_reviews": f"WITH {REVIEWS}, {DIRTY} SELECT CASE WHEN review_id = '' THEN 'AUTO-' || (k + 1) ELSE review_id END AS review_id, CASE WHEN product_name = '' THEN 'Unknown product' ELSE product_name END AS product_name, rating FROM di WHERE trim(review_text) <> '' AND rating <= 5 AND review_date IS NOT NULL",
     "exact_dedup": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lang, text",
     "dup_id_count": "SELECT count(*) AS ids FROM (SELECT doc_id // 2 AS k FROM documents GROUP BY 1 HAVING count(*) > 1)",
     "conflict_rename": """WITH d AS (SELECT doc_id, 'D' || (doc_id // 2) AS id, source, text FROM documents), f AS (SELECT *, min(doc_id) OVER (PARTITION BY id, source, text) AS first FROM d),
@@ -179,10 +183,7 @@ ORACLES = {
     "video_keys": "SELECT 'O' || o_orderkey AS review_id, upper(substr(sha1('O' || o_orderkey), 1, 8)) AS key, right('aaaaaaaaaaa' || 'O' || o_orderkey, 11) AS video, CASE WHEN o_orderkey >= 3600 THEN (o_orderkey // 3600) || ':' || lpad((o_orderkey // 60 % 60)::VARCHAR, 2, '0') ELSE (o_orderkey // 60)::VARCHAR END || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS at FROM orders",
     "caption_offsets": """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\[[^\\]]*\\]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM conversations WHERE text IS NOT NULL)
         SELECT conv_id, turn, coalesce(sum(length(s) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM c WHERE s <> ''""",
-    "moment_asof": """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\[[^\\]]*\\]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM conversations WHERE text IS NOT NULL),
-        p AS (SELECT conv_id, turn, s, coalesce(sum(length(s) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM c WHERE s <> ''),
-        t AS (SELECT conv_id, string_agg(s, ' ' ORDER BY place) AS whole FROM p GROUP BY 1)
-        SELECT p.conv_id, p.turn, arg_max(o.turn * 7.5, o.place) AS seconds FROM p JOIN t USING (conv_id) JOIN p o ON o.conv_id = p.conv_id AND o.place <= instr(whole, p.s) - 1 GROUP BY ALL""",
+    "moment_asof": MOMENTS,
     "json_props": "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, len(json_keys(props)) AS n FROM events",
     "page_scrape": "SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages",
     "faceted_search": f"WITH {REVIEWS} SELECT review_id, rating, review_date FROM en WHERE contains(lower(review_text), 'battery') AND rating BETWEEN 1 AND 3 AND review_date >= '1996-01-01' AND review_date < '2000-01-01' AND sentiment = 'Negative'",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from opinara.plans import feedback, ingesting, narratives, series
+from opinara.plans import feedback, ingesting, narratives, series, uploads
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (feedback, ingesting, series, narratives):
+for _module in (feedback, ingesting, series, narratives, uploads):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

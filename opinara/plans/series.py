@@ -29,8 +29,9 @@ _EV = """ev AS (
 )"""
 
 
-def _trend_sql(source: str, unit: str) -> str:
-    return f"""
+def trend_sql(source: str, unit: str, cte: bool = False) -> str:
+    """The trend of ``source``, as what follows WITH, or as a query of its own."""
+    return ("WITH " if cte else "") + f"""
         by_p AS (SELECT date_trunc('{unit}', review_date)::TIMESTAMP AS period, count(*) AS reviews, count(*) FILTER (sentiment = 'Positive') AS positive, count(*) FILTER (sentiment = 'Negative') AS negative,
                         count(*) FILTER (rating <= 2) AS low_ratings, {rnd('avg(rating)', 2)} AS avg_rating FROM {source} GROUP BY 1),
         spine AS (SELECT unnest(generate_series((SELECT min(period) FROM by_p), (SELECT max(period) FROM by_p), INTERVAL 1 {unit})) AS period)
@@ -142,9 +143,9 @@ UNION ALL SELECT 'Review volume', 'Info', NULL, NULL, []::VARCHAR[] FROM n WHERE
 UNION ALL SELECT 'Average rating', CASE WHEN ba - ra >= 1 THEN 'High' ELSE 'Medium' END, NULL, NULL, []::VARCHAR[] FROM n WHERE ba - ra >= 0.5)"""
 
 ORACLES = {
-    "trend_daily": f"WITH {_EV}, {_trend_sql('ev', 'DAY')}",
-    "trend_weekly": f"WITH {REVIEWS}, {_trend_sql('en', 'WEEK')}",
-    "trend_monthly": f"WITH {REVIEWS}, {_trend_sql('en', 'MONTH')}",
+    "trend_daily": f"WITH {_EV}, {trend_sql('ev', 'DAY')}",
+    "trend_weekly": f"WITH {REVIEWS}, {trend_sql('en', 'WEEK')}",
+    "trend_monthly": f"WITH {REVIEWS}, {trend_sql('en', 'MONTH')}",
     "theme_trend": f"WITH {MENTIONS} SELECT date_trunc('MONTH', review_date)::TIMESTAMP AS period, theme, count(DISTINCT review_id) AS reviews FROM me WHERE polarity = 'complaint' GROUP BY ALL",
     "auto_frequency": f"WITH {_EV}, s AS (SELECT floor((epoch_us(max(review_date)) - epoch_us(min(review_date))) / 86400000000.0)::BIGINT AS days FROM ev) SELECT days, CASE WHEN days <= 45 THEN 'Daily' WHEN days <= 240 THEN 'Weekly' ELSE 'Monthly' END AS frequency FROM s",
     "spike_windows": f"WITH {_EV}, {_WINDOWS.format(src='ev')} SELECT baseline_start::TIMESTAMP AS baseline_start, recent_start::TIMESTAMP AS recent_start, data_end::TIMESTAMP AS data_end FROM ww",

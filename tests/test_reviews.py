@@ -251,3 +251,136 @@ def test_stream(spark, reviews, tmp_path):
 
 def test_report(reviews):
     assert "## Priorities" in narrate.report(reviews, enrich.mentions(reviews)).markdown()
+
+
+def test_theme_words_in_one_pass(spark):
+    """The bits of a clause are what the patterns of each theme say of it."""
+    from opinara.sources.reviews import CLOSERS, MIDDLES, OPENERS
+
+    words = [w for spec in L.THEMES.values() for part in spec.values() for w in part]
+    texts = [*OPENERS, *MIDDLES, *CLOSERS, *words, *(f"{a} {b}" for a, b in zip(words, words[7:])), *(f"x{w} {w}y, {w}!" for w in words), "", "SOUND QUALITY", "build quality and sound quality", "support team's customer support team"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    want = [F.array(T.has_theme(name, t), t.rlike(T.whole_words(spec["complaint"]))) for name, spec in L.THEMES.items()]
+    got = [F.array(T.theme_mask(t).bitwiseAND(F.lit(1 << k)) != 0, T.theme_mask(t).bitwiseAND(F.lit(1 << 16 + k)) != 0) for k in range(len(L.THEMES))]
+    for r in df.select("t", F.array(*want).alias("want"), F.array(*got).alias("got")).collect():
+        assert [w[0] for w in r["want"]] == [g[0] for g in r["got"]], r["t"]
+        assert all(w[1] == g[1] for w, g in zip(r["want"], r["got"]) if w[0]), r["t"]
+
+
+@pytest.mark.parametrize("words", [["drain", "drains", "drained"], ["a.b", "a+"], ["eq"], ["customer care", "customer", "care"]])
+def test_patterns_of_words(words):
+    found = re.compile(f"(?:{T.any_of(words)})")
+    assert all(found.fullmatch(w) for w in words) and not any(found.fullmatch(w + "x") or found.fullmatch(w[:-1] + "#") for w in words)
+
+
+@pytest.mark.parametrize("at", [3, 401])
+def test_encoding_is_that_of_the_whole_file(spark, tmp_path, at):
+    lines = ["Id;Product;Review;Stars;Date"] + [f"{k};Mug;This one is number {k} and it works;4;2024-02-03" for k in range(500)]
+    lines[at + 1] = f"{at};Mug;Das ist schön gut \x80 so;4;2024-02-03"
+    (tmp_path / "r.csv").write_bytes("\n".join(lines).encode("latin-1"))
+    rows = {r["Id"]: r["Review"] for r in files.read_delimited(spark, str(tmp_path / "r.csv")).collect()}
+    assert len(rows) == 500 and rows[str(at)] == "Das ist schön gut € so"
+    lines[at + 1] += "\x81"
+    (tmp_path / "open.csv").write_bytes("\n".join(lines).encode("latin-1"))
+    assert files.judged(spark.read.text(str(tmp_path / "open.csv"))) == ("latin-1", False)
+    (tmp_path / "u.csv").write_text("\n".join(lines), encoding="utf-8")
+    assert files.judged(spark.read.text(str(tmp_path / "u.csv"))) == ("utf-8", False)
+
+
+def test_quotes_that_span_lines(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('id,text\n1,"one\ntwo"\n2,three\n')
+    assert [tuple(r) for r in files.read_delimited(spark, str(tmp_path / "r.csv")).collect()] == [("1", "one\ntwo"), ("2", "three")]
+    for empty in ("", " \n \n"):
+        (tmp_path / "e.csv").write_text(empty)
+        with pytest.raises(ValueError, match="empty"):
+            files.read_delimited(spark, str(tmp_path / "e.csv"))
+
+
+def test_rows_are_numbered_from_zero(spark):
+    rows = ingest.numbered(spark.range(100, numPartitions=7)).orderBy("_row").collect()
+    assert [(r["id"], r["_row"]) for r in rows] == [(k, k) for k in range(100)]
+    assert ingest.numbered(spark.range(0)).count() == 0
+
+
+def test_unreadable_files_give_the_sample(spark, tmp_path, reviews):
+    got, why = files.load_reviews(spark, str(tmp_path / "none.csv"), "none", reviews)
+    assert got is reviews and why
+
+
+def test_large_ingest(spark, tmp_path):
+    import time
+
+    began = time.perf_counter()
+    rows = spark.range(50_000).select(F.col("id").cast("string").alias("review_id"), F.concat(F.lit("Product "), F.col("id") % 5).alias("product"), F.concat(F.lit("It works well for me, number "), "id").alias("review"), (1 + F.col("id") % 5).alias("stars"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 600).cast("string").alias("date"))
+    rows.write.csv(str(tmp_path / "big"), header=True)
+    assert files.read_reviews(spark, str(tmp_path / "big"), "big").count() == 50_000
+    assert time.perf_counter() - began < 60
+
+
+def test_video_store_of_an_array(spark, tmp_path):
+    (tmp_path / "v.json").write_text('[{"review_id": "a", "review_text": "good", "views": 5},\n {"review_id": "b"}, {"review_text": "c"}]')
+    assert [r["review_id"] for r in files.read_videos(spark, str(tmp_path / "v.json")).collect()] == ["a"]
+    (tmp_path / "w.json").write_text('{"review_id": "a", "review_text": "good"}\n{"review_id": "b", "review_text": "bad"}\n')
+    assert files.read_videos(spark, str(tmp_path / "w.json")).count() == 2
+
+
+def test_choices_for_a_mapping():
+    options = ingest.column_options(["a", "b"])
+    assert options["review_text"] == ["a", "b"] and options["rating"][-1] == ingest.FROM_TEXT and options["review_date"][-1] == ingest.TODAY
+
+
+def test_copies_are_marked_once(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", "x"), (4, "a", None)], "k long, t string, u string")
+    assert {r["k"]: r["copy"] for r in ingest.mark_copies(rows, ["k"], on=("t", "u")).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
+def test_requests_join_the_first_earlier_group(spark):
+    """Groups by the quadratic walk over all requests, in order, against the aggregate."""
+    import itertools
+
+    wishes = ["I wish it had a longer cable", "I wish it had a longer cable and a case", "Please add a case", "I wish it had a case and a stand", "It should have a stand", "I wish it had a longer strap", "Please add a dark mode"]
+    rows = [(f"r{i:02d}", "P", 4.0, w + ".", "2024-01-01") for i, w in enumerate(itertools.islice(itertools.cycle(wishes), 20))]
+    requests = wishlist.extract_requests(spark.createDataFrame(rows, "review_id string, product_name string, rating double, review_text string, d string").withColumn("review_date", F.to_timestamp("d")))
+    for threshold in (0.1, 0.25, 0.45):
+        from opinara.operators.similarity import similar_pairs, weighted
+
+        texts = requests.groupBy(T.request_key(F.col("request")).alias("id")).agg(F.count("*").alias("n"), F.min("review_id").alias("first")).withColumn("text", F.col("id"))
+        order = [r["id"] for r in texts.orderBy("first").collect()]
+        near = {(r["a"], r["b"]) for r in similar_pairs(weighted(texts.select("id", "text", "n"), True, "[\\p{L}\\p{N}_]{2,}", True), threshold).collect()}
+        group: dict[str, int] = {}
+        for i, a in enumerate(order):
+            group.setdefault(a, len(set(group.values())))
+            for b in order[i + 1 :]:
+                if b not in group and ((a, b) in near or (b, a) in near):
+                    group[b] = group[a]
+        assert wishlist.group_requests(requests, threshold).count() == len(set(group.values()))
+
+
+def told():
+    """A client that notes what it is asked, and cites."""
+
+    def client(rules: str, prompt: str) -> str:
+        ids = re.findall(r"^\[([\w-]+)\]", prompt, re.M)
+        return f"# Seen [{', '.join(ids[:2])}] [made-up]" if "<notes>" not in prompt else f"Combined {prompt.count('Notes on part')} parts [a, zz]"
+
+    return client
+
+
+def test_analysis_of_one_and_of_many_parts(spark, reviews):
+    from opinara.operators import assist
+
+    one = assist.summary("overall", reviews, told(), stats="n: 4")
+    assert one.chunks == 1 and one.reviews_total == 4 and one.unknown == ["made-up"] and set(one.cited) <= {"a", "b", "c", "d"}
+    many = assist.summary("negative", reviews, told(), most=60)
+    assert many.chunks > 1 and many.text == f"Combined {many.chunks} parts [a, zz]" and many.cited == ["a"] and many.unknown == ["zz"]
+    assert assist.summary("headline", reviews, told()).text == "Seen"
+    assert assist.summary("overall", reviews, told(), newest=2).reviews_used == 2
+    with pytest.raises(ValueError):
+        assist.summary("overall", reviews.where("false"), told())
+    with pytest.raises(ValueError):
+        assist.answer("  ", reviews, told())
+    with pytest.raises(ValueError):
+        assist.answer("x" * 501, reviews, told())
+    assert assist.answer("Why late?", reviews, told()).chunks == 1 and assist.compare(reviews, "P", reviews, "Q", told(), "").reviews_total == 8
+    assert assist.cited_ids("[a, b] x [b] [not an id] [c-1]") == ["a", "b", "c-1"] and assist.draft_reply("bad", "P", 2.0, lambda r, p: p).endswith("The P team")
