@@ -118,3 +118,9 @@ def highlighted(text: Column, clauses: Column) -> Column:
         return F.when(c["polarity"].isin("praise", "complaint") & (target != "") & (at > 0), mark).otherwise(html)
 
     return F.aggregate(clauses, escaped(text), step)
+
+
+def md_to_html(text: Column) -> Column:
+    """HTML of simple Markdown: bold parts, and line breaks."""
+    bold = F.regexp_replace(escaped(text), "\\*\\*(.+?)\\*\\*", "<strong>$1</strong>")
+    return F.replace(bold, F.lit("\n"), F.lit("<br>"))

@@ -134,6 +134,11 @@ def highlights(spark: SparkSession, sf: str) -> DataFrame:
     return mentioned(spark, sf).select("review_id", "theme", P.highlighted(F.concat(F.lit("<b> & "), "review_text"), clause).alias("html"))
 
 
+def html_lines(spark: SparkSession, sf: str) -> DataFrame:
+    made = F.concat(F.lit("**"), "product_name", F.lit("** & more\n"), "review_text")
+    return order_reviews(spark, sf).select("review_id", P.md_to_html(made).alias("html"))
+
+
 def assessed(spark: SparkSession, sf: str) -> DataFrame:
     reviews = enriched(spark, sf)
     return risk.assess(reviews, risk.similar_reviews(reviews))
@@ -156,6 +161,7 @@ QUERIES = {
     "emotion_signs": emotion_signs,
     "excerpts": excerpts,
     "highlights": highlights,
+    "html_lines": html_lines,
     "product_search": lambda spark, sf: serve.search(enriched(spark, sf), product_name=("Product 3",)).select("review_id"),
     "reply_queue": lambda spark, sf: serve.reply_queue(enriched(spark, sf), "low").select("review_id", "rating"),
     "risk_queue": lambda spark, sf: risk.risk_queue(assessed(spark, sf)).select("review_id", "risk_level", "risk_score"),
@@ -208,6 +214,7 @@ ORACLES = {
         SELECT review_id, theme, CASE WHEN length(review_text) <= 60 THEN review_text WHEN place >= 0 THEN CASE WHEN begin > 0 THEN '… ' ELSE '' END || substr(review_text, begin + 1, 60) || CASE WHEN begin + 60 < length(review_text) THEN ' …' ELSE '' END ELSE {_PLAIN} END AS focused, {_PLAIN} AS plain FROM p""",
     "highlights": f"""WITH {MENTIONS}, p AS (SELECT review_id, theme, polarity, {_HTML.format("'<b> & ' || review_text")} AS h, {_HTML.format('clause')} AS c FROM me)
         SELECT review_id, theme, CASE WHEN polarity <> 'neutral' AND instr(h, c) > 0 THEN substr(h, 1, instr(h, c) - 1) || '<mark class=\"' || polarity || '\">' || c || '</mark>' || substr(h, instr(h, c) + length(c)) ELSE h END AS html FROM p""",
+    "html_lines": f"WITH {REVIEWS} SELECT review_id, '<strong>' || product_name || '</strong> &amp; more<br>' || {_HTML.format('review_text')} AS html FROM rv",
     "product_search": f"WITH {REVIEWS} SELECT review_id FROM rv WHERE product_name = 'Product 3'",
     "reply_queue": f"WITH {REVIEWS} SELECT review_id, rating FROM rv WHERE rating <= 3",
     "risk_queue": f"WITH {REVIEWS}, {SIMILAR}, {BURST}, {SIGNALS} SELECT review_id, CASE WHEN risk_score >= 55 THEN 'High' ELSE 'Medium' END AS risk_level, risk_score FROM sp WHERE risk_score >= 30",

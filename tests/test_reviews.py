@@ -384,3 +384,17 @@ def test_analysis_of_one_and_of_many_parts(spark, reviews):
         assist.answer("x" * 501, reviews, told())
     assert assist.answer("Why late?", reviews, told()).chunks == 1 and assist.compare(reviews, "P", reviews, "Q", told(), "").reviews_total == 8
     assert assist.cited_ids("[a, b] x [b] [not an id] [c-1]") == ["a", "b", "c-1"] and assist.draft_reply("bad", "P", 2.0, lambda r, p: p).endswith("The P team")
+
+
+def test_planted_patterns_are_found(spark):
+    from opinara.sources.demo import demo_reviews
+
+    made = enrich.add_sentiment(demo_reviews(spark)).cache()
+    assert made.count() == 309 and sorted(map(str, made.collect())) == sorted(map(str, enrich.add_sentiment(demo_reviews(spark)).collect()))
+    rated = {r["review_id"]: r for r in risk.assess(made, risk.similar_reviews(made)).collect()}
+    assert all(rated[f"B{k}"]["burst"] for k in range(6)) and all(rated[f"B{k}"]["risk_level"] == "High" for k in range(6))
+    assert all(rated[f"C{k}"]["risk_reasons"][0].startswith("Near-duplicate of review C") for k in range(3))
+    mine = made.where(F.col("product_name") == "Aura Headphones")
+    assert "Connectivity" in {r["theme"] for r in metrics.priority_ranking(mine, enrich.mentions(mine)).where("recent_rise > 0").collect()}
+    assert 15 <= wishlist.extract_requests(made).select("review_id").distinct().count() <= 60
+    assert {r["language"] for r in made.select("language").distinct().collect()} == {"English", "Hinglish", "Hindi"}
