@@ -29,13 +29,15 @@ def rating_histogram(reviews: DataFrame) -> DataFrame:
     return F.broadcast(stars).join(counts, "stars", "left").select("stars", F.coalesce("reviews", F.lit(0)).alias("reviews"))
 
 
-def _distinct_if(when: Column, what: str = "review_id") -> Column:
-    return F.count_distinct(F.when(when, F.col(what)))
+def _reviews_where(mentions: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """By theme, the reviews with a mention for which each condition holds: one row for each theme and review first."""
+    each = mentions.groupBy("theme", "review_id").agg(*[F.max(c.cast("int")).alias(n) for n, c in conditions.items()])
+    return each.groupBy("theme").agg(*[F.sum(n).alias(n) for n in conditions])
 
 
 def theme_summary(mentions: DataFrame, reviews: DataFrame) -> DataFrame:
     """Reviews praising, complaining and neutral by theme, and their shares of all reviews."""
-    by = mentions.groupBy("theme").agg(*[_distinct_if(F.col("polarity") == p).alias(n) for p, n in (("praise", "praise"), ("complaint", "complaints"), ("neutral", "neutral"))])
+    by = _reviews_where(mentions, {n: F.col("polarity") == p for p, n in (("praise", "praise"), ("complaint", "complaints"), ("neutral", "neutral"))})
     total = reviews.agg(F.count("*").alias("total"))
     share = lambda c: rint(F.col(c) / F.col("total") * 100, 1)
     return by.crossJoin(F.broadcast(total)).select("theme", "praise", "complaints", "neutral", share("praise").alias("praise_pct"), share("complaints").alias("complaint_pct"))
@@ -143,8 +145,7 @@ def product_metrics(reviews: DataFrame) -> DataFrame:
 def theme_table(mentions: DataFrame, a: str, b: str) -> DataFrame:
     """Praise and complaint reviews of two products by theme, with satisfaction where at least two rate it."""
     mine = mentions.where(F.col("product_name").isin(a, b))
-    counts = [_distinct_if((F.col("product_name") == p) & (F.col("polarity") == q)).alias(f"{n}_{s}") for p, s in ((a, "a"), (b, "b")) for q, n in (("praise", "praise"), ("complaint", "complaints"))]
-    by = mine.groupBy("theme").agg(*counts)
+    by = _reviews_where(mine, {f"{n}_{s}": (F.col("product_name") == p) & (F.col("polarity") == q) for p, s in ((a, "a"), (b, "b")) for q, n in (("praise", "praise"), ("complaint", "complaints"))})
     for s in "ab":
         rated = F.col(f"praise_{s}") + F.col(f"complaints_{s}")
         by = by.withColumn(f"satisfaction_{s}", F.when(rated >= 2, F.rint(F.col(f"praise_{s}") / rated * 100)))
