@@ -11,6 +11,7 @@ from opinara.functions import lexicon as L
 from opinara.functions import text as T
 from opinara.operators import metrics, trends, wishlist
 from opinara.operators.enrich import add_emotion
+from opinara.storage import once
 
 
 def _first_ids(mentions: DataFrame, limit: int = 3) -> dict[tuple[str, str], list[str]]:
@@ -22,7 +23,15 @@ def _first_ids(mentions: DataFrame, limit: int = 3) -> dict[tuple[str, str], lis
 
 def key_insights(reviews: DataFrame, mentions: DataFrame) -> DataFrame:
     """``seq``, ``kind``, ``text``, ``evidence``: overview, praise, recurring and rising complaints, the driver
-    of low ratings, single complaints, and the share of reviews in Indian languages."""
+    of low ratings, single complaints, and the share of reviews in Indian languages.
+
+    The mentions are worked out once, for all the aggregates over them.
+    """
+    with once(mentions.drop("review_text"), "mentions") as written:
+        return _insights(reviews, written)
+
+
+def _insights(reviews: DataFrame, mentions: DataFrame) -> DataFrame:
     spark = reviews.sparkSession
     summary = metrics.theme_summary(mentions, reviews).orderBy(F.desc("complaints"), F.desc("praise"), "theme").collect()
     ranking = metrics.priority_ranking(reviews, mentions).collect()
@@ -60,6 +69,11 @@ def headline(mentions: DataFrame) -> str:
 
 def stats_context(reviews: DataFrame, mentions: DataFrame) -> str:
     """The computed numbers as text, for prompts."""
+    with once(mentions.drop("review_text"), "mentions") as written:
+        return _context(reviews, written)
+
+
+def _context(reviews: DataFrame, mentions: DataFrame) -> str:
     one = reviews.agg(F.count("*").alias("n"), F.date_format(F.min("review_date"), "yyyy-MM-dd").alias("a"), F.date_format(F.max("review_date"), "yyyy-MM-dd").alias("b"), F.avg("rating").alias("r")).first()
     lines = [f"Reviews: {one['n']} ({one['a']} to {one['b']})", f"Average rating: {one['r']:.2f}/5"]
     lines.append("Ratings: " + ", ".join(f"{r['stars']}: {r['reviews']}" for r in metrics.rating_histogram(reviews).orderBy("stars").collect()))
@@ -86,6 +100,11 @@ class Report:
 
 def report(reviews: DataFrame, mentions: DataFrame) -> Report:
     """The aggregates of a printed report, each small."""
+    with once(mentions.drop("review_text"), "mentions") as written:
+        return _report(reviews, written)
+
+
+def _report(reviews: DataFrame, mentions: DataFrame) -> Report:
     gain = metrics.fix_impact(reviews, mentions).select("theme", "gain")
     priority = metrics.priority_ranking(reviews, mentions).join(gain, "theme", "left").orderBy(F.desc("score"), "theme").limit(8)
     parts = {
@@ -94,7 +113,7 @@ def report(reviews: DataFrame, mentions: DataFrame) -> Report:
         "Priorities": priority.select("theme", "level", "score", "gain"),
         "Quotes": metrics.evidence(mentions, 2).where("polarity = 'complaint'").orderBy("theme", "rank").select("theme", "review_id", "clause"),
         "Praise": metrics.theme_summary(mentions, reviews).where("praise >= 2").orderBy(F.desc("praise"), "theme").limit(4).select("theme", "praise"),
-        "Insights": key_insights(reviews, mentions).where("kind <> 'overview'").orderBy("seq").limit(6).select("text"),
+        "Insights": _insights(reviews, mentions).where("kind <> 'overview'").orderBy("seq").limit(6).select("text"),
         "Requests": wishlist.group_requests(wishlist.extract_requests(reviews)).orderBy(F.desc("reviews"), F.desc("last_date")).limit(5).select("request", "reviews"),
     }
     return Report(headline(mentions), {k: [r.asDict() for r in df.collect()] for k, df in parts.items()})

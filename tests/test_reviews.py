@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from opinara.functions.valence import compound, valence_score
 from opinara.operators import enrich, ingest, metrics, narrate, risk, serve, trends, wishlist
 from opinara.operators.similarity import nearest
 from opinara.sources import files
+from opinara.storage import shared_folder
 
 
 def one(spark, value, expression):
@@ -398,3 +400,14 @@ def test_planted_patterns_are_found(spark):
     assert "Connectivity" in {r["theme"] for r in metrics.priority_ranking(mine, enrich.mentions(mine)).where("recent_rise > 0").collect()}
     assert 15 <= wishlist.extract_requests(made).select("review_id").distinct().count() <= 60
     assert {r["language"] for r in made.select("language").distinct().collect()} == {"English", "Hinglish", "Hindi"}
+
+
+@pytest.mark.parametrize("master, allowed", [("local", True), ("local[4]", True), ("local[*]", True), ("local-cluster[3,2,1000]", False), ("yarn", False), ("spark://host:7077", False)])
+def test_an_unset_folder_is_an_error_on_a_cluster(master, allowed):
+    made = []
+    context = SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    if allowed:
+        assert shared_folder(SimpleNamespace(sparkContext=context)) == made[0]
+    else:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(SimpleNamespace(sparkContext=context))
