@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara.storage import fresh_path
+
 #: Characters that separate words: space and the five ASCII line and tab characters.
 WORD_SPACE = "[\\x20\\x09-\\x0D]+"
 #: Rows of a file, where a table's rows are known beforehand.
@@ -19,20 +18,9 @@ FILE_ROWS = 100_000
 _TRIM = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Unset, it is an error, but in one local process, as in tests, where it is a folder of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="opinara-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     if _scopes:
         _scopes[-1].append(path)
     return path

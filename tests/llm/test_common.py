@@ -1,25 +1,12 @@
 from __future__ import annotations
 
 import os
-from types import SimpleNamespace
 
-import pytest
 from pyspark.sql import functions as F
 
 from opinara.llm import common, mixing
 
 
-@pytest.mark.parametrize("master, allowed", [("local", True), ("local[4]", True), ("local[*]", True), ("local-cluster[3,2,1000]", False), ("yarn", False), ("spark://host:7077", False)])
-def test_an_unset_folder_is_an_error_on_a_cluster(master, allowed):
-    made = []
-    context = SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
-    if allowed:
-        assert common.shared_dir(SimpleNamespace(sparkContext=context)) == made[0]
-    else:
-        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-            common.shared_dir(SimpleNamespace(sparkContext=context))
-
-
 def test_released_tables_are_gone(spark):
     with common.released(spark):
         table = common.written(spark.range(5), "some")
