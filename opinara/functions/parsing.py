@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ DATE_SHAPE = "\\d{1,4}[-/.]\\d{1,2}[-/.]\\d{1,4}|[A-Za-z]{3,9}\\.? \\d{1,2},? \\
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM")
 
 
+def _shape(form: str) -> str:
+    """What any text of a date format looks like: a cheap test before the format is tried."""
+    signs = {"y": "\\d", "M": "\\d", "d": "\\d", "H": "\\d", "m": "\\d", "s": "\\d"}
+    tokens = [m[0] for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", form)]
+    told = ["[A-Za-z]+" if t.startswith("MMM") else "(?:Z|[+-]\\d\\d:\\d\\d)" if t[0] == "X" else signs[t[0]] + "+" if t[0] in signs else re.escape(t.strip("'")) for t in tokens]
+    return "^" + "".join(told) + "$"
+
+
 def number(text: Column) -> Column:
     return F.regexp_replace(text, ",", ".").try_cast("double")
 
@@ -50,7 +60,7 @@ def timestamp(text: Column) -> Column:
     n = text.try_cast("double")
     seconds = F.when((n >= 1e9) & (n <= 2.2e9), F.timestamp_seconds(n))
     millis = F.when((n >= 1e12) & (n <= 2.2e12), F.timestamp_millis(n.cast("long")))
-    return F.coalesce(seconds, millis, *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    return F.coalesce(seconds, millis, *[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS])
 
 
 def estimated_rating(score: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "opinara", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,3 +23,9 @@ def build_session(app: str = "opinara", master: str | None = None, **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where a few small files would keep it on fewer; any larger input stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara.session import spread
+
 OPENERS = (
     "The battery drains quickly and charging is slow.",
     "Great sound quality but the headband is flimsy.",
@@ -63,7 +65,7 @@ def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The last days hold a planted rise of complaints.
     """
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"))
     bad = (F.col("o_orderdate") >= F.lit(BAD_DAYS).cast("timestamp")) & (F.col("o_orderkey") % 3 != 0)
     return orders.select(
         F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("review_id"),
