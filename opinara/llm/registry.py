@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.llm import chat_format, cross_polytope, html_text, mixing, piece_sampling, quality_model, quality_rules, secret_scan, simhash, warc
+from opinara.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
