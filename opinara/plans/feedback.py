@@ -10,6 +10,7 @@ from opinara.functions import text as T
 from opinara.functions.valence import valence_score
 from opinara.operators import enrich, metrics
 from opinara.plans.oracle import MENTIONS, REVIEWS, any_word, lit, rnd
+from opinara.session import spread
 from opinara.sources.reviews import order_reviews, table
 
 
@@ -44,7 +45,7 @@ def clause_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def language_detect(spark: SparkSession, sf: str) -> DataFrame:
     reviews = order_reviews(spark, sf).select(F.col("review_id").alias("id"), F.col("review_text").alias("t"))
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("D"), F.col("doc_id")).alias("id"), F.col("text").alias("t"))
+    docs = spread(table(spark, sf, "documents")).select(F.concat(F.lit("D"), F.col("doc_id")).alias("id"), F.col("text").alias("t"))
     return reviews.unionAll(docs).select("id", T.language(F.col("t")).alias("language"))
 
 
