@@ -45,7 +45,7 @@ def assess(reviews: DataFrame, similar: DataFrame | None = None) -> DataFrame:
         (F.col("max_similarity") >= 0.90, 40, F.concat(F.lit("Near-duplicate of review "), "similar_to")),
         (F.col("max_similarity").between(0.75, 0.9) & (F.col("max_similarity") < 0.90), 20, F.concat(F.lit("Very similar to review "), "similar_to")),
         (F.col("burst"), 20, F.concat(F.lit("Part of a burst of "), F.col("same_day").cast("string"))),
-        ((T.word_count(text) <= 6) & (F.size(T.themes_of(text)) == 0), 15, F.lit("Generic text with no specific product detail")),
+        ((T.word_count(text) <= 6) & (T.theme_mask(text).bitwiseAND(F.lit(0xFFFF)) == 0), 15, F.lit("Generic text with no specific product detail")),
         (T.is_promo(text), 10, F.lit("Promotional or exaggerated phrasing")),
         (against, 15, F.lit("Star rating contradicts the review text")),
         (T.is_shouting(text), 10, F.lit("Excessive punctuation or capital letters")),
