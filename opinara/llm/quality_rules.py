@@ -154,27 +154,19 @@ def quality_report(df: DataFrame, key: str = "doc_id", rows: int = SAMPLE_ROWS)
     """Per row: the base counts, ``base_failed``, ``kept`` and the rule that rejected it."""
     docs = df.select(F.col(key).alias("doc_id"), F.col("text"))
     ranks = _ranks(docs, rows)
-    words, text = F.col("__words"), F.col("__text")
-    counted = prepared(docs).select(
-        "doc_id",
-        "__text",
-        "__words",
-        word_chars(words).alias("word_chars"),
-        symbol_count(text).alias("n_symbols"),
-        dup_lines(text).alias("n_dup_lines"),
-        repeat_words(words).alias("n_repeat_words"),
-    )
-    size = F.length(text)
-    base = base_rules(words, F.col("n_repeat_words"), size)
-    rules = base + own_rules(words, text, F.col("n_symbols"), F.col("n_dup_lines"), F.col("word_chars"), size)
-    failed = base[0].rejects | base[1].rejects
-    return counted.select(
-        "doc_id",
-        F.size(words).cast("long").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        failed.alias("base_failed"),
-        cascade(sorted(rules, key=lambda r: ranks[r.name])).alias("__rule"),
-    ).withColumn("kept", F.col("__rule").isNull()).drop("__rule")
+
+    def judged(text: Column, words: Column, found: Column) -> Column:
+        size, n = F.length(text), F.size(words)
+        base = base_rules(words, found["n_repeat_words"], size)
+        rules = base + own_rules(words, text, found["n_symbols"], found["n_dup_lines"], found["word_chars"], size)
+        verdict = cascade(sorted(rules, key=lambda r: ranks[r.name]))
+        counts = [found[c].alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return F.struct(n.cast("long").alias("n_words"), *counts, (base[0].rejects | base[1].rejects).alias("base_failed"), verdict.isNull().alias("kept"))
+
+    def counted(text: Column, words: Column) -> Column:
+        counts = F.struct(word_chars(words).alias("word_chars"), symbol_count(text).alias("n_symbols"), dup_lines(text).alias("n_dup_lines"), repeat_words(words).alias("n_repeat_words"))
+        return let(counts, lambda found: judged(text, words, found))
+
+    # words and counts are bound inside one expression, so a filter on the report computes them once more at most
+    told = let(F.coalesce(F.col("text"), F.lit("")), lambda text: let(words_of(text), lambda words: counted(text, words)))
+    return docs.select("doc_id", told.alias("__told")).select("doc_id", "__told.*")

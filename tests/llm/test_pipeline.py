@@ -4,12 +4,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from opinara.llm import mixing, quality_rules, secret_scan, simhash
+from opinara.llm.common import written
 
 
 def test_stages_take_effect(spark, sf, documents):
     docs = documents
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, sf).cache()
+        after = written(stage(spark, docs, sf), name)
         assert after.columns == documents.columns, name
         before, left = {r["doc_id"] for r in docs.select("doc_id").collect()}, {r["doc_id"] for r in after.select("doc_id").collect()}
         assert left <= before and left, name
