@@ -73,11 +73,13 @@ _WORDS = (
 def corpus_words(df: DataFrame, text: str = "text") -> list[str]:
     """At most CORPUS_WORDS words of four to twelve letters, from one document in as many as leave about CORPUS_DOCS.
 
+    A word is a whole token, so no part of a longer one, such as a secret, is learnt as ordinary.
+
     Documents and words are drawn by hash, so the same table gives the same words, whatever its partitions.
     """
     every = max(1, df.count() // CORPUS_DOCS)
     some = df.where(F.pmod(F.xxhash64(F.col(text)), F.lit(every)) == 0)
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?<![a-z])[a-z]{4,12}(?![a-z])"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?<![a-z0-9+/_=-])[a-z]{4,12}(?![a-z0-9+/_=-])"), F.lit(0)))
     few = F.slice(F.sort_array(F.transform(found, lambda w: F.struct(F.xxhash64(w).alias("lot"), w.alias("word")))), 1, CORPUS_WORDS)
     words = some.select(F.explode(few).alias("w")).select("w.*").distinct().orderBy("lot", "word").limit(CORPUS_WORDS)
     return [r["word"] for r in words.collect()]
@@ -86,16 +88,13 @@ def corpus_words(df: DataFrame, text: str = "text") -> list[str]:
 def labelled_samples(spark: SparkSession, per_label: int = SAMPLES, words: list[str] | None = None) -> DataFrame:
     """``text``, ``random``: digests in four alphabets, and identifiers in five styles of words.
 
-    Half of the identifiers are of ``words``, if there are any, the others of common code words.
+    Identifiers are made of common code words and of ``words``, each as likely as the other.
     """
-    common, told = F.array(*[F.lit(w) for w in _WORDS]), F.lit(words) if words else None
-    rows = spark.range(per_label)
+    usual = [*_WORDS, *(words or [])]
+    rows, listed = spark.range(per_label), F.lit(usual)
 
     def word(k: int) -> Column:
-        lot = F.xxhash64("id", F.lit(k))
-        of = lambda these, n: F.element_at(these, (F.pmod(lot, F.lit(n)) + 1).cast("int"))
-        usual = of(common, len(_WORDS))
-        return usual if told is None else F.when(F.floor(F.col("id") / 5) % 2 == 0, usual).otherwise(of(told, len(words)))
+        return F.element_at(listed, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(usual))) + 1).cast("int"))
 
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     coded = F.base64(F.unhex(digest))
