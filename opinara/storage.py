@@ -27,11 +27,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: computed once, with its lineage cut."""
+def stored(df: DataFrame, name: str, by: tuple[int, str] | None = None) -> DataFrame:
+    """``df`` as a written table: computed once, with its lineage cut.
+
+    ``by``: a number of buckets, and a column; joins on it with that many partitions then read the table in place.
+    """
     path = fresh_path(df.sparkSession, name)
+    if by:
+        found = path.rpartition("/")[2].replace("-", "_")
+        df.write.format("parquet").bucketBy(*by).option("path", path).saveAsTable(found)
+        table = df.sparkSession.table(found)
+        table._path, table._table = path, found
+        return table
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._path = path  # so that dropped() finds it
+    return table
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table made by ``stored`` that no later plan reads."""
+    spark = df.sparkSession
+    if found := getattr(df, "_table", None):
+        spark.sql(f"DROP TABLE {found}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(df._path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager
